@@ -172,3 +172,27 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def lines(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of all lines, empty ones included, and the number of the first line of each text."""
+    feeds = np.flatnonzero(s.data == 0x0A)
+    counts = np.searchsorted(feeds, s.offsets[1:]) - np.searchsorted(feeds, s.offsets[:-1]) + 1
+    first = np.concatenate([[0], np.cumsum(counts)])
+    is_first, is_last = np.zeros(first[-1], bool), np.zeros(first[-1], bool)
+    is_first[first[:-1]] = is_last[first[1:] - 1] = True
+    starts, ends = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+    starts[is_first], starts[~is_first] = s.offsets[:-1], feeds + 1
+    ends[is_last], ends[~is_last] = s.offsets[1:], feeds
+    return starts, ends, first
+
+
+class Bits:
+    """A fixed-size set of 64-bit hashes that never misses a member; for a cheap first look."""
+
+    def __init__(self, hashes: np.ndarray, size: int):
+        self.table = np.zeros(size, bool)
+        self.table[(hashes & U64(size - 1)).astype(np.int64)] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        return self.table[(hashes & U64(len(self.table) - 1)).astype(np.int64)]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import WHITE_SEP, mix, of_text, separators, slices
+from ._text import WHITE_SEP, lines, mix, of_text, slices
 from .language import held_out
 
 _LOWER, _UPPER, _DIGIT, _BLANK, _STOP, _SIGN, _HIGH = range(7)
@@ -34,27 +34,6 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
-_LINE_FEED = separators(b"\n")
-
-
-def lines(s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte ranges of all lines, empty ones included, and the number of the first line of each text."""
-    feeds = np.flatnonzero(_LINE_FEED[s.data]) if len(s.data) else np.zeros(0, np.int64)
-    counts = np.searchsorted(feeds, s.offsets[1:]) - np.searchsorted(feeds, s.offsets[:-1]) + 1
-    first = np.concatenate([[0], np.cumsum(counts)])
-    starts = np.empty(first[-1], np.int64)
-    ends = np.empty(first[-1], np.int64)
-    is_first = np.zeros(first[-1], bool)
-    is_first[first[:-1]] = True
-    starts[first[:-1]] = s.offsets[:-1]
-    starts[~is_first] = feeds + 1
-    ends[first[1:] - 1] = s.offsets[1:]
-    is_last = np.zeros(first[-1], bool)
-    is_last[first[1:] - 1] = True
-    ends[~is_last] = feeds
-    return starts, ends, first
-
-
 def line_features(s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of each line, its weight, and the first line of each text."""
     starts, ends, first = lines(s)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, pieces, quality, sharding, token_files
+from . import decontaminate, language, line_dedup, pieces, quality, sharding, token_files
 
 #: Bytes of text in a shard at most.
 SHARD_BYTES = 2 << 20
@@ -21,6 +21,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")))["n"]
+    ids = F.array_join(F.array_sort("items"), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=20, variants=2)
 
@@ -41,15 +48,22 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
+        "op2_decontaminate": op2_decontaminate,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_sharding": op5_sharding,
         "op6_quality": op6_quality,
         "op8_language": op8_language,
         "op9_token_files": op9_token_files,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.oracle(SHARD_BYTES)}
+    return {"op2_decontaminate": decontaminate.oracle(), "op5_sharding": sharding.oracle(SHARD_BYTES), "op10_line_dedup": line_dedup.oracle()}
