@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, pieces, quality, sharding, token_files
+from . import decontaminate, language, line_dedup, pieces, quality, sharding, substring, token_files
 
 #: Bytes of text in a shard at most.
 SHARD_BYTES = 2 << 20
@@ -21,6 +21,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     n_hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")))["n"]
@@ -55,6 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_decontaminate": op2_decontaminate,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_sharding": op5_sharding,
@@ -66,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.oracle(), "op5_sharding": sharding.oracle(SHARD_BYTES), "op10_line_dedup": line_dedup.oracle()}
+    return {"op1_substring_dedup": substring.oracle(), "op2_decontaminate": decontaminate.oracle(), "op5_sharding": sharding.oracle(SHARD_BYTES), "op10_line_dedup": line_dedup.oracle()}
