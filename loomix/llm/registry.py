@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, pieces, quality, sharding, substring, token_files
+from . import decontaminate, embeddings, language, line_dedup, pieces, quality, sharding, substring, token_files
 
 #: Bytes of text in a shard at most.
 SHARD_BYTES = 2 << 20
@@ -33,6 +33,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=20, variants=2)
 
@@ -62,6 +66,7 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_decontaminate": op2_decontaminate,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_sharding": op5_sharding,
         "op6_quality": op6_quality,
@@ -72,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring.oracle(), "op2_decontaminate": decontaminate.oracle(), "op5_sharding": sharding.oracle(SHARD_BYTES), "op10_line_dedup": line_dedup.oracle()}
+    return {"op1_substring_dedup": substring.oracle(), "op2_decontaminate": decontaminate.oracle(), "op3_embedding_dedup": embeddings.oracle(), "op5_sharding": sharding.oracle(SHARD_BYTES), "op10_line_dedup": line_dedup.oracle()}
