@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, language, line_dedup, pieces, quality, sharding, substring, token_files
+from . import decontaminate, embeddings, jaccard, language, line_dedup, pieces, quality, sharding, substring, token_files
 
 #: Bytes of text in a shard at most.
 SHARD_BYTES = 2 << 20
@@ -49,6 +49,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), threshold="0.85", shingle=4)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ def queries() -> dict:
         "op4_sentencepiece": op4_sentencepiece,
         "op5_sharding": op5_sharding,
         "op6_quality": op6_quality,
+        "op7_jaccard": op7_jaccard,
         "op8_language": op8_language,
         "op9_token_files": op9_token_files,
         "op10_line_dedup": op10_line_dedup,
@@ -77,4 +82,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring.oracle(), "op2_decontaminate": decontaminate.oracle(), "op3_embedding_dedup": embeddings.oracle(), "op5_sharding": sharding.oracle(SHARD_BYTES), "op10_line_dedup": line_dedup.oracle()}
+    return {"op1_substring_dedup": substring.oracle(), "op2_decontaminate": decontaminate.oracle(), "op3_embedding_dedup": embeddings.oracle(), "op5_sharding": sharding.oracle(SHARD_BYTES), "op7_jaccard": jaccard.oracle(), "op10_line_dedup": line_dedup.oracle()}

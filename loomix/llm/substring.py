@@ -61,7 +61,7 @@ def cells(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchors & half).astype(np.int64), (other & half).astype(np.int64) + (1 << (bits - 1))
 
 
-def sketch(rows: DataFrame, window: int, bits: int) -> np.ndarray:
+def sketch(rows: DataFrame, keys_of, bits: int) -> np.ndarray:
     """A bit for each cell that counted two or more, packed; 1 << (bits - 3) bytes."""
     block = 1 << BLOCK_BITS
 
@@ -76,14 +76,9 @@ def sketch(rows: DataFrame, window: int, bits: int) -> np.ndarray:
             return every
 
         for _, s in slices(batches):
-            _, at, anchors, first = runs(s, window)
-            if not len(at):
-                continue
-            text = of_text(first)[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1])
-            own = np.unique(mix(anchors[new]) ^ text[new].astype(U64), return_index=True)[1]
-            once += list(cells(anchors[new][own], bits))
+            keys, text = keys_of(s)
+            own = np.unique(mix(keys) ^ text.astype(U64), return_index=True)[1]
+            once += list(cells(keys[own], bits))
             if sum(map(len, once)) > max(1 << 20, len(seen) // 2):
                 seen = merge()
         seen = merge()
@@ -109,17 +104,42 @@ def sketch(rows: DataFrame, window: int, bits: int) -> np.ndarray:
     # Sums are kept per task as blocks of bytes; rows stream through, so no block's rows meet in memory.
     parts = rows.mapInArrow(count, "block long, cells binary, many boolean").repartition("block").mapInArrow(total, "block long, bits binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():
         out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Whether keys are estimated to be repeated: both their cells counted two or more."""
+    keep = np.ones(len(keys), bool)
+    for c in cells(keys, bits):
+        keep &= (bitmap[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
+    return keep
+
+
+def bitmap_of_repeated(rows: DataFrame, keys_of, per_byte: float, sketch_bits: int):
+    """A broadcast bitmap of the cells that counted two or more, and the logarithm of its size.
+
+    keys_of: slice -> (keys, the text of each); a text counts a key once. per_byte: keys expected for
+    a byte of text; there are 16 cells for each, within bounds: this is for accuracy, not for results.
+    """
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(sketch_bits, max(20, math.ceil(math.log2(16 * size * per_byte + 1))))
+    return rows.sparkSession.sparkContext.broadcast(sketch(rows, keys_of, bits)), bits
+
+
 def repeated(rows: DataFrame, window: int, sketch_bits: int) -> DataFrame:
     """(id, starts): the first words of the runs that an earlier document also has. rows: id, text."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # 16 cells for each anchor expected at 6 bytes a word, within bounds: accuracy, not results.
-    bits = min(sketch_bits, max(20, math.ceil(math.log2(16 * size / (6 * (window - ANCHOR + 2) / 2) + 1)))) if window > ANCHOR else sketch_bits
-    shared = rows.sparkSession.sparkContext.broadcast(sketch(rows, window, bits))
+
+    def anchors_of(s) -> tuple[np.ndarray, np.ndarray]:
+        _, at, anchors, first = runs(s, window)
+        text = of_text(first)[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1])
+        return anchors[new], text[new]
+
+    # Of six bytes to a word, and one anchor for half a run's shingles.
+    shared, bits = bitmap_of_repeated(rows, anchors_of, 2 / 6 / max(2, window - ANCHOR + 2), sketch_bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
@@ -127,10 +147,7 @@ def repeated(rows: DataFrame, window: int, sketch_bits: int) -> DataFrame:
             words, at, anchors, first = runs(s, window)
             if not len(at):
                 continue
-            keep = np.ones(len(at), bool)
-            for c in cells(anchors, bits):
-                keep &= (bitmap[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
-            at = at[keep]
+            at = at[in_bitmap(bitmap, anchors, bits)]
             text = np.searchsorted(first, at, side="right") - 1
             one, two = windows(words, window)[at], windows(words, window, 1)[at]
             ids = s.ids.to_numpy()
