@@ -1,13 +1,65 @@
-"""A training-data pipeline over documents."""
+"""A training-data pipeline over documents: five stages, each deciding over all that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Between
+stages the rows are written as Parquet to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomix.llm import decontaminate, jaccard, language, line_dedup, pieces
+from loomix.llm._store import save
+from loomix.llm.registry import table, tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text, or no letter in it) go; lang becomes the prediction."""
+    model = language.train(docs.where(~language.held_out()))
+    found = language.predict(docs, model, ["doc_id", "text", "source", "n_chars"])
+    return found.where(F.col("lang_pred") != language.UND).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 characters that five or more documents hold stay in one of them only."""
+    kept = line_dedup.dedup_lines(docs, keep=["doc_id", "lang", "source"])
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked at a similarity of 0.8 of their 5-word shingles the first one stays."""
+    first = jaccard.similar_groups(docs, threshold="0.8", shingle=5).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(save(first, "first"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item, or the whole of a shorter one, go."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
+    return found.where(F.size("items") == 0).select(*COLUMNS)
+
+
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' piece ids under merge-dropout, as digests, and whether they decode to the text."""
+    return pieces.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=20, variants=2)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("line_dedup", line_stage),
+    ("jaccard", jaccard_stage),
+    ("decontaminate", benchmark_stage),
+    ("pieces", piece_stage),
+]
+
+#: Language models and piece segmentations have no SQL form; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = save(stage(spark, docs, sf_dir), name)
     return docs
