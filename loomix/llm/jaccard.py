@@ -18,8 +18,9 @@ of their K-prefixes. A shingle is *frequent* if more than ``frequent`` prefixes
 A count-min sketch first finds the prefix shingles that may occur in two documents; others are not
 even written. Neighbours on an index entry aren't all paired: each is verified against the entry's
 first document, components are formed, and only pairs of the entry that are still apart follow.
-Candidates must pass length and prefix bounds before whole sets are compared. Heavy entries are
-compared in blocks of 512 by blocks, of which only a spanning forest of links comes back.
+Candidates must pass length and prefix bounds before whole sets are compared. Heavy sets that
+combinations connect form clusters, compared in blocks of 512 by blocks of like sizes, of which only
+a spanning forest of links comes back.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing;
 a text with fewer words than a shingle has one shingle, its whole sequence; rows with a null id get a
@@ -29,6 +30,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -171,8 +173,6 @@ def classes(n: int, limit: Threshold) -> list[tuple[int, int]]:
     Sizes of linked sets differ by 1 / t at most, so they are of one class or of two neighbouring ones;
     each set is listed in its own class and in the one below, where its larger partners are not.
     """
-    import math
-
     step = math.log(limit.t.denominator / limit.t.numerator)
     own = int(math.log(n) / step + 1e-9)
     out = []
@@ -255,25 +255,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, limit: Threshold) -> Da
     return both.mapInArrow(run, "a long, b long")
 
 
-def _heavy_links(combos: DataFrame, docs: DataFrame, k: int, limit: Threshold) -> DataFrame:
-    """A spanning forest of the links within each block pair of each entry of combinations."""
-    sizes = combos.groupBy("cls", "t1", "t2").agg(F.count("*").alias("m")).where("m > 1")
-    sizes = save(sizes.withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")), "combo_sizes")
-    member = combos.join(sizes, ["cls", "t1", "t2"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    member = save(member.select("cls", "t1", "t2", "id", "block", "parts"), "members")
-    if member.isEmpty():
+def _heavy_links(combos: DataFrame, reps: DataFrame, docs: DataFrame, k: int, limit: Threshold) -> DataFrame:
+    """A spanning forest of the links within each pair of blocks of sets that combinations connect.
+
+    Two linked heavy sets share an entry, so they are of one cluster: a component of the graph that joins
+    each set with the first of each of its entries. A cluster is compared once, whatever number of entries
+    its sets share. Its blocks hold sets of like sizes and meet only where the length bound allows.
+    """
+    first = save(combos.groupBy("cls", "t1", "t2").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m"), "combo_leads")
+    edges = combos.join(first, ["cls", "t1", "t2"]).where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    cluster = save(components(edges).join(reps.select("id", "n"), "id").select("id", "n", F.col("component_id").alias("cluster")), "clusters")
+    if cluster.isEmpty():
         return docs.sparkSession.createDataFrame([], "a long, b long")
-    sets = save(_sets(docs, save(member.select("id").distinct(), "heavy"), k), "heavy_sets")
-    spread = member.select("cls", "t1", "t2", "id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    spread = spread.select("cls", "t1", "t2", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id")
+    step = math.log(limit.t.denominator / limit.t.numerator)
+    member = cluster.withColumn("cls", F.floor(F.log("n") / F.lit(step) + 1e-9).cast("int"))
+    sizes = save(member.groupBy("cluster", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "cluster_sizes")
+    member = member.join(sizes, ["cluster", "cls"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # Linked sets are of one size class or of neighbouring ones: a block meets those of its class and of the next.
+    above = sizes.select("cluster", (F.col("cls") - 1).alias("cls"), F.col("parts").alias("above"))
+    below = sizes.select("cluster", (F.col("cls") + 1).alias("cls"), F.col("parts").alias("below"))
+    member = member.join(above, ["cluster", "cls"], "left").join(below, ["cluster", "cls"], "left")
+    count = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    side = lambda cls, i: F.struct(cls.cast("int").alias("cls"), i.cast("int").alias("part"))
+    own = F.transform(count("parts"), lambda j: F.struct(side(F.col("cls"), F.least(F.col("part"), j)).alias("low"), side(F.col("cls"), F.greatest(F.col("part"), j)).alias("high")))
+    up = F.transform(count("above"), lambda j: F.struct(side(F.col("cls"), F.col("part")).alias("low"), side(F.col("cls") + 1, j).alias("high")))
+    down = F.transform(count("below"), lambda j: F.struct(side(F.col("cls") - 1, j).alias("low"), side(F.col("cls"), F.col("part")).alias("high")))
+    spread = member.select("cluster", "id", "cls", "part", F.explode(F.concat(own, up, down)).alias("p")).select("cluster", "id", "cls", "part", "p.low", "p.high")
+    spread = spread.select("cluster", F.col("low.cls").alias("c1"), F.col("low.part").alias("p1"), F.col("high.cls").alias("c2"), F.col("high.part").alias("p2"), "id", ((F.col("cls") == F.col("low.cls")) & (F.col("part") == F.col("low.part"))).alias("first"))
+    sets = save(_sets(docs, save(cluster.select("id"), "heavy"), k), "heavy_sets")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _compare(pdf, limit, key[3] == key[4], key[3])
+        return _compare(pdf, limit, key[1:3] == key[3:5])
 
-    return spread.join(sets, "id").groupBy("cls", "t1", "t2", "low", "high").applyInPandas(compare, "a long, b long")
+    return spread.join(sets, "id").groupBy("cluster", "c1", "p1", "c2", "p2").applyInPandas(compare, "a long, b long")
 
 
-def _compare(pdf: pd.DataFrame, limit: Threshold, same: bool, low: int) -> pd.DataFrame:
+def _compare(pdf: pd.DataFrame, limit: Threshold, same: bool) -> pd.DataFrame:
     pdf = pdf.sort_values("id", ignore_index=True)
     sets = [unpack(bytes(x)) for x in pdf["shingles"]]
     size = np.array([len(x) for x in sets])
@@ -289,7 +306,7 @@ def _compare(pdf: pd.DataFrame, limit: Threshold, same: bool, low: int) -> pd.Da
         overlap += x @ x.T
     linked = overlap >= limit.need(size[:, None], size[None, :])
     if not same:
-        first = pdf["block"].to_numpy() == low
+        first = pdf["first"].to_numpy()
         linked &= first[:, None] != first[None, :]
     # A spanning forest by repeated search.
     seen, out = np.zeros(m, bool), []
@@ -331,7 +348,7 @@ def similar_groups(df: DataFrame, threshold: str = "0.8", shingle: int = 5, id_c
     members = save(single.join(entries, ["small", "token"]).select("small", "token", "id", "lead"), "members")
     tried = save(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "tried")
     links = _verified(save(_bounded(tried, reps, limit), "candidates"), known, shingle, limit)
-    links = save(links.unionByName(_heavy_links(combos, known, shingle, limit)), "links")
+    links = save(links.unionByName(_heavy_links(combos, reps, known, shingle, limit)), "links")
 
     # Entries whose documents are still apart: their remaining pairs.
     group = save(components(links), "groups")
