@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import save
-from ._text import U64, WHITE_SEP, lists, mix, of_text, signed, slices, whole_runs, windows
+from ._text import U64, WHITE_SEP, mix, of_text, signed, slices, whole_runs, windows
 
 #: Words in a shingle that may be an anchor.
 ANCHOR = 8
@@ -129,7 +128,11 @@ def bitmap_of_repeated(rows: DataFrame, keys_of, per_byte: float, sketch_bits: i
 
 
 def repeated(rows: DataFrame, window: int, sketch_bits: int) -> DataFrame:
-    """(id, starts): the first words of the runs that an earlier document also has. rows: id, text."""
+    """(id, starts): the first words, packed, of the runs that an earlier document also has. rows: id, text.
+
+    A task settles runs that its own documents repeat and sends on only those of the first of them, so a
+    key has at most a few rows for each task; these meet once, sorted by document, and stream by.
+    """
 
     def anchors_of(s) -> tuple[np.ndarray, np.ndarray]:
         _, at, anchors, first = runs(s, window)
@@ -143,20 +146,81 @@ def repeated(rows: DataFrame, window: int, sketch_bits: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
+        held: list = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            one, two, ids, starts = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((ids, two, one))
+            one, two, ids, starts = one[order], two[order], ids[order], starts[order]
+            later = _later(one, two, ids)
+            keep = ~later
+            yield _rows(one[keep], two[keep], ids[keep], starts[keep])
+            # What an earlier document here has is settled: a row for each document, to any partition.
+            who, packed = _packed(ids[later], starts[later])
+            yield _rows(mix(who.view(U64)).view(np.int64), np.zeros(len(who), np.int64), who, np.zeros(len(who), np.int64), packed)
+
         for _, s in slices(batches):
             words, at, anchors, first = runs(s, window)
-            if not len(at):
+            at = at[in_bitmap(bitmap, anchors, bits)] if len(at) else at
+            if len(at):
+                text = np.searchsorted(first, at, side="right") - 1
+                held.append((signed(windows(words, window)[at]), signed(windows(words, window, 1)[at]), s.ids.to_numpy()[text], at - first[text]))
+            if sum(len(x[0]) for x in held) > HELD:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the key of the row before, and the first document that has it
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            at = at[in_bitmap(bitmap, anchors, bits)]
-            text = np.searchsorted(first, at, side="right") - 1
-            one, two = windows(words, window)[at], windows(words, window, 1)[at]
-            ids = s.ids.to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(signed(one)), pa.array(signed(two)), pa.array(ids[text], pa.int64()), pa.array((at - first[text]), pa.int64())], ["h1", "h2", "id", "start"])
+            one, two, ids, starts = (batch.column(i).to_numpy() for i in range(4))
+            known = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+            later = _later(one, two, ids, last)
+            same = np.flatnonzero((one != one[-1]) | (two != two[-1]))
+            begin = same[-1] + 1 if len(same) else 0
+            if not (begin == 0 and last is not None and last[:2] == (one[-1], two[-1])):
+                last = (one[-1], two[-1], ids[begin])
+            later &= ~known
+            who, packed = _packed(ids[later], starts[later])
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(packed, pa.binary())], ["id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(known)), batch.column(4).filter(pa.array(known))], ["id", "packed"])
+
+    found = rows.mapInArrow(emit, "h1 long, h2 long, id long, start long, packed binary")
+    settled = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id").mapInArrow(settle, "id long, packed binary")
+    return settled.groupBy("id").agg(F.collect_list("packed").alias("starts"))
+
+
+#: Runs that a task holds before it looks for those that its own documents repeat.
+HELD = 2_000_000
+
+
+def _later(one: np.ndarray, two: np.ndarray, ids: np.ndarray, last: tuple | None = None) -> np.ndarray:
+    """Of rows sorted by key and id, those whose key an earlier document has; last: key and first id before them."""
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    begin = np.flatnonzero(new)
+    least = ids[begin]
+    if last is not None and len(one) and last[:2] == (one[0], two[0]):
+        least[0] = min(least[0], last[2])
+    return ids > np.repeat(least, np.diff(np.append(begin, len(one))))
+
+
+def _packed(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Each id once, with its starts as 32-bit integers."""
+    order = np.lexsort((starts, ids))
+    ids, starts = ids[order], starts[order].astype("<i4")
+    begin = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1)) if len(ids) else np.zeros(0, np.int64)
+    ends = np.append(begin[1:], len(ids))
+    raw = starts.tobytes()
+    return ids[begin], [raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), ends.tolist())]
+
 
-    found = save(rows.mapInArrow(emit, "h1 long, h2 long, id long, start long"), "runs")
-    firsts = found.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    firsts = save(firsts, "firsts")
-    return found.join(firsts, ["h1", "h2"]).where("id > first").groupBy("id").agg(F.collect_set("start").alias("starts"))
+def _rows(one, two, ids, starts, packed: list | None = None) -> pa.RecordBatch:
+    last = pa.nulls(len(ids), pa.binary()) if packed is None else pa.array(packed, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), last], ["h1", "h2", "id", "start", "packed"])
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, keep: list[str] | None = None, sketch_bits: int = 28) -> DataFrame:
@@ -177,7 +241,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if drop:
                     # Rows that repeat an id may differ in length; a start beyond the end covers nothing.
                     edge = np.zeros(n + window + 1, np.int64)
-                    at = np.array([x for x in drop if x + window <= n], np.int64)
+                    at = np.frombuffer(b"".join(drop), "<i4").astype(np.int64)
+                    at = at[at + window <= n]
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
                     left = np.flatnonzero(np.cumsum(edge)[:n] == 0).tolist()
