@@ -33,7 +33,12 @@ def save(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes the rows to the shared folder and reads them again: lineage ends, and any executor may be lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    size, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(size, "1000")  # whole texts and sets make wide rows
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(size, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomix_path = path
     return out

@@ -6,6 +6,7 @@ Separators of all supported word classes are ASCII, so they can be found bytewis
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -104,8 +105,19 @@ class Slice:
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+@lru_cache
+def lean() -> None:
+    """Makes a worker give back the memory of large arrays when they are freed, instead of keeping it for later ones."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):
+        return  # another C library, with habits of its own
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES, max_rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, Slice]]:
     """Cuts batches whose first two columns are an id and a text into slices, with the rows of each."""
+    lean()
     for batch in batches:
         if not batch.num_rows:
             continue

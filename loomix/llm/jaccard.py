@@ -115,7 +115,7 @@ def _index(reps: DataFrame, limit: Threshold, frequent: int) -> tuple[DataFrame,
     rows = reps.join(often, "id", "left").select("id", "n", "tokens", "ranks", "often")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             ids, sizes, tokens, small = [], [], [], []
             for i, n, tok, rank, often in zip(*(c.to_pylist() for c in batch.columns)):
                 tok, rank = np.array(tok, np.int64), np.array(rank, np.int64)
@@ -131,7 +131,7 @@ def _index(reps: DataFrame, limit: Threshold, frequent: int) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(small, pa.bool_()), pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["small", "token", "id", "n"])
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             out: list = []
             for i, n, tok, rank, often in zip(*(c.to_pylist() for c in batch.columns)):
                 if not often:
@@ -147,9 +147,9 @@ def _index(reps: DataFrame, limit: Threshold, frequent: int) -> tuple[DataFrame,
                     for g in np.unique(group):
                         own = use[group == g]
                         a, b = np.triu_indices(len(own), 1)
-                        out += [(cls, x, y, i) for x, y in zip(own[a].tolist(), own[b].tolist())]
+                        out.append((np.full(len(a), cls, np.int32), own[a], own[b], np.full(len(a), i)))
             if out:
-                cls, one, two, ids = zip(*out)
+                cls, one, two, ids = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int32()), *(pa.array(x, pa.int64()) for x in (one, two, ids))], ["cls", "t1", "t2", "id"])
 
     return (
@@ -158,6 +158,13 @@ def _index(reps: DataFrame, limit: Threshold, frequent: int) -> tuple[DataFrame,
     )
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows a few at a time: they become Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def extension(ranks: np.ndarray, cut: int, most: int) -> tuple[int, bool]:
     """The least K <= most whose K-prefix holds fewer than K of the frequent shingles at these ranks; else most, and True."""
     ranks = np.sort(ranks)

@@ -36,7 +36,7 @@ from ._text import U64, Slice, mix, ranges, slices
 
 SPACE = 0x2581
 #: Words kept by a worker; when there are more, it starts anew. Memory only.
-KEPT = 3_000_000
+KEPT = 1_000_000
 
 
 class PieceModel:
