@@ -185,11 +185,11 @@ class LineIndex:
                 done, size = filter_.insert(whole), max(8, 2 * size)
             return pd.DataFrame({"shard": [key[0]], "filter": [filter_.table.tobytes()]})
 
-        rows = old.select("shard", F.lit(0).alias("kind"), "filter", F.lit(None).cast("long").alias("h1"), F.lit(0).alias("change"))
+        rows = old.select("shard", F.lit(0).alias("kind"), "filter", F.lit(0).cast("long").alias("h1"), F.lit(0).alias("change"))
         rows = rows.unionByName(change.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), "h1", F.col("change").cast("int").alias("change")))
         rows = rows.unionByName(everything.select("shard", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("filter"), "h1", F.lit(0).alias("change")))
 
-        def group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             kind = pdf["kind"]
             return one(key, pdf[kind == 0], pdf[kind == 1], pdf[kind == 2])
 
