@@ -189,8 +189,13 @@ def classes(n: int, limit: Threshold) -> list[tuple[int, int]]:
     return out
 
 
+def like_sizes(n, m, limit: Threshold):
+    """The length bound: sets of n and m can be similar."""
+    return F.least(n, m) * limit.t.denominator >= F.greatest(n, m) * limit.t.numerator
+
+
 def _bounded(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
-    """The pairs (a, b) that length and prefix bounds leave."""
+    """The pairs (a, b), of like sizes, that the prefix bound leaves."""
     top, bottom = limit.t.numerator, limit.t.denominator
     side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tau").alias(f"tau_{x}"), F.col("tokens").alias(f"tok_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -200,12 +205,12 @@ def _bounded(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
     tau = F.least("tau_a", "tau_b")
     known = F.size(F.filter(shared, lambda t: t <= tau))
     rest = F.when(F.col("tau_a") <= F.col("tau_b"), F.col("n_a") - reach("a")).otherwise(F.col("n_b") - reach("b"))
-    length = (F.least("n_a", "n_b") * bottom >= F.greatest("n_a", "n_b") * top)
-    return both.where(length).where(known + rest >= need).select("a", "b")
+    return both.where(known + rest >= need).select("a", "b")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, shingles): the whole sets, as sorted 48-bit numbers of six bytes, of the documents with these ids.
+    """(id, shingles): the whole sets, as sorted 48-bit numbers of six bytes, of the documents with these ids;
+    a row for each text of an id that repeats with other texts.
 
     A bitmap of the ids, of bounded size, lets most other documents be skipped before the join.
     """
@@ -224,10 +229,11 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             keep = pa.array((held[c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0)
             for _, s in slices(iter([batch.filter(keep)])):
                 sets, _ = shingle_sets(s, k)
-                yield pa.RecordBatch.from_arrays([s.ids, pa.array([pack(x) for x in sets], pa.binary())], ["id", "shingles"])
+                digest = pa.array([int(x.sum()) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([s.ids, digest, pa.array([pack(x) for x in sets], pa.binary())], ["id", "digest", "shingles"])
 
-    found = docs.withColumn("c", cell).mapInArrow(run, "id long, shingles binary")
-    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    found = docs.withColumn("c", cell).mapInArrow(run, "id long, digest long, shingles binary")
+    return found.join(ids, "id", "left_semi").dropDuplicates(["id", "digest"]).drop("digest")
 
 
 def pack(hashes: np.ndarray) -> bytes:
@@ -250,12 +256,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, limit: Threshold) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            held: dict = {}
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if a not in held:
-                    held = {a: unpack(x.as_buffer().to_pybytes())}
-                x, y = held[a], unpack(y.as_buffer().to_pybytes())
-                good.append(len(np.intersect1d(x, y, assume_unique=True)) >= limit.need(len(x), len(y)))
+            last = held = None
+            for x, y in zip(batch.column(2), batch.column(3)):
+                if (data := x.as_buffer().to_pybytes()) != last:
+                    last, held = data, unpack(data)
+                y = unpack(y.as_buffer().to_pybytes())
+                good.append(len(np.intersect1d(held, y, assume_unique=True)) >= limit.need(len(held), len(y)))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
@@ -351,20 +357,21 @@ def similar_groups(df: DataFrame, threshold: str = "0.8", shingle: int = 5, id_c
     single, combos = save(single, "single"), save(combos, "combos")
 
     entries = single.groupBy("small", "token").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
-    entries = save(entries.select("small", "token", F.col("lead.id").alias("lead")), "entries")
-    members = save(single.join(entries, ["small", "token"]).select("small", "token", "id", "lead"), "members")
-    tried = save(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "tried")
+    entries = save(entries.select("small", "token", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "entries")
+    members = save(single.join(entries, ["small", "token"]).select("small", "token", "id", "n", "lead", "lead_n"), "members")
+    tried = save(members.where("id <> lead").where(like_sizes("n", "lead_n", limit)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "tried")
     links = _verified(save(_bounded(tried, reps, limit), "candidates"), known, shingle, limit)
     links = save(links.unionByName(_heavy_links(combos, reps, known, shingle, limit)), "links")
 
     # Entries whose documents are still apart: their remaining pairs.
     group = save(components(links), "groups")
-    placed = members.join(group, "id", "left").select("small", "token", "id", "lead", F.coalesce("component_id", "id").alias("c"))
+    placed = members.join(group, "id", "left").select("small", "token", "id", "n", "lead", "lead_n", F.coalesce("component_id", "id").alias("c"))
     placed = save(placed, "placed")
     apart = placed.groupBy("small", "token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2 and m > 2").select("small", "token")
-    left = save(placed.join(save(apart, "apart"), ["small", "token"]).where("id <> lead"), "left")
-    two = left.select("small", "token", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = left.select("small", "token", F.col("id").alias("a"), F.col("c").alias("ca")).join(two, ["small", "token"]).where("a < b and ca <> cb").select("a", "b").distinct()
+    left = save(placed.join(save(apart, "apart"), ["small", "token"]).where("id <> lead or n <> lead_n"), "left")
+    two = left.select("small", "token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
+    rest = left.select("small", "token", F.col("id").alias("a"), "n", F.col("c").alias("ca")).join(two, ["small", "token"])
+    rest = rest.where("a < b and ca <> cb").where(like_sizes("n", "m", limit)).select("a", "b").distinct()
     rest = save(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     more = _verified(save(_bounded(rest, reps, limit), "candidates"), known, shingle, limit)
     group = save(components(links.unionByName(more)), "groups")
