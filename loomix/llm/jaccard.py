@@ -24,8 +24,9 @@ a spanning forest of links comes back.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing;
 a text with fewer words than a shingle has one shingle, its whole sequence; rows with a null id get a
-row with a null component; rows that repeat an id are one document with the links of all; an empty table
-gives an empty result; other columns are ignored.
+row with a null component; rows that repeat an id get a row each, by their own texts, and ids should be unique
+where texts differ: such rows may have different components; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
