@@ -43,7 +43,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' piece ids under merge-dropout, as digests, and whether they decode to the text."""
-    return pieces.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=20, variants=2)
+    return pieces.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=20)
 
 
 STAGES = [

@@ -2,10 +2,10 @@
 
 Encoding follows the agenda of byte-pair merging: of all neighbouring symbols whose join is a
 piece, the one with the best score, leftmost among equals, is merged next. With dropout, a keyed
-hash of (seed, variant of the text, word, extent of the candidate) decides once for each candidate
-whether it is skipped; without dropout the ids are those of the sentencepiece library. A text's
-variant, 0 to ``variants - 1``, is a keyed hash of its id, so a document's segmentation is the same
-in every run and on every executor, while documents, and seeds, differ.
+hash of (seed, id of the text, position of the word in it, extent of the candidate) decides once for
+each candidate whether it is skipped; without dropout the ids are those of the sentencepiece library.
+A document's segmentation is the same in every run and on every executor, while documents, seeds and
+the places of a word in a text differ.
 
 Words (a run of blanks and what follows up to the next blank) are segmented apart, which is
 exact when no piece has a blank after another character; this is verified when the model is
@@ -16,9 +16,9 @@ Decoding joins the pieces, byte pieces as bytes, and drops the blank put before
 back every text: the sign U+2581, which stands for a blank in pieces, is written as bytes when it
 occurs in a text.
 
-Defined results: a null or empty text has no ids and decodes to the empty string; a null id gives
-variant 0; repeated rows are encoded each; an empty table gives an empty result; other columns are
-ignored.
+Defined results: a null or empty text has no ids and decodes to the empty string; null ids count as
+one id; repeated rows are encoded each, equal rows alike; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from ._text import U64, Slice, mix, ranges, slices
 
 SPACE = 0x2581
-#: Words kept by a worker; when there are more, it starts anew. Memory only.
+#: Words kept by a worker when nothing is skipped; when there are more, it starts anew. Memory only.
 KEPT = 1_000_000
+#: Words whose occurrences are segmented at once; a long text has more. Memory only.
+WORDS = 1 << 16
 
 
 class PieceModel:
@@ -222,11 +224,10 @@ def _merge_long(model: PieceModel, symbols: np.ndarray, kept: np.ndarray, key: i
 
 
 class Encoder:
-    """Encodes slices; segmentations of words are kept for the next ones."""
+    """Encodes slices. Without dropout, segmentations of words are kept for the next ones; with it each occurrence has its own."""
 
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 1):
-        self.model, self.seed = PieceModel(path), seed
-        self.skip, self.variants = int(dropout * 2**32), max(1, variants) if dropout else 1
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0):
+        self.model, self.seed, self.skip = PieceModel(path), seed, int(dropout * 2**32)
         self.clear()
 
     def clear(self) -> None:
@@ -234,9 +235,10 @@ class Encoder:
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 20, np.uint16 if self.model.size <= 65536 else np.uint32), 0
 
-    def variant(self, ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
-        v = mix(ids.astype(np.int64).view(U64) + U64(self.seed * 0xD1342543DE82EF95 & (2**64 - 1))) % U64(self.variants)
-        return np.where(nulls, U64(0), v)
+    def text_keys(self, ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
+        """A hash of the seed and each text's id."""
+        own = np.where(nulls, U64(0x94D049BB133111EB), mix(ids.astype(np.int64).view(U64) + U64(0xBF58476D1CE4E5B9)))
+        return mix(own + U64(self.seed * 0xD1342543DE82EF95 & (2**64 - 1)))
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -244,16 +246,18 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, self.slot[at], -1)
 
-    def _add(self, hashes: np.ndarray, variant: np.ndarray, words: list[str]) -> None:
+    def _segment(self, words: list[str], word_keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and the number of each word's."""
         model = self.model
         text = "".join(words)
-        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        code = points.astype(np.int64)
         lengths = np.array([len(w) for w in words], np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
         blank = code == 0x20
         code = np.where(blank, SPACE, code)
         sym = model.single[code].astype(np.int64)
-        literal = np.frombuffer(text.encode("utf-32-le"), np.uint32) == SPACE
+        literal = points == SPACE
         sym[literal] = -1
         # Parts: maximal runs of characters with a piece, and each other character alone.
         bad = sym < 0
@@ -264,19 +268,22 @@ class Encoder:
         part_word = word[part_first]
         part_bad = bad[part_first]
         keys = None
-        if self.skip:
-            keys = mix(hashes[part_word] + variant[part_word] * U64(0xA24BAED4963EE407) + U64(self.seed & (2**64 - 1)) + (part_first - (np.cumsum(lengths) - lengths)[part_word]).astype(U64) * U64(0x9FB21C651E98DF25))
+        if word_keys is not None:
+            keys = mix(word_keys[part_word] + (part_first - (np.cumsum(lengths) - lengths)[part_word]).astype(U64) * U64(0x9FB21C651E98DF25))
         good = ~part_bad
         pieces, counts = segment(model, sym[np.repeat(good, part_count)], part_count[good], None if keys is None else keys[good], self.skip)
         per_part = np.zeros(len(part_first), np.int64)
         per_part[good] = counts
-        bad_bytes = [chr(c).encode() for c in np.frombuffer(text.encode("utf-32-le"), np.uint32)[part_first[part_bad]].tolist()]
+        bad_bytes = [chr(c).encode() for c in points[part_first[part_bad]].tolist()]
         per_part[part_bad] = [len(b) for b in bad_bytes]
         ids = np.zeros(int(per_part.sum()), np.int64)
         at = np.cumsum(per_part) - per_part
         ids[ranges(at[good], per_part[good])] = pieces
         ids[ranges(at[part_bad], per_part[part_bad])] = model.byte[np.frombuffer(b"".join(bad_bytes), np.uint8)]
-        per_word = np.bincount(part_word, weights=per_part, minlength=len(words)).astype(np.int64)
+        return ids, np.bincount(part_word, weights=per_part, minlength=len(words)).astype(np.int64)
+
+    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids, per_word = self._segment(words, None)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
@@ -309,39 +316,43 @@ class Encoder:
         first = np.searchsorted(starts, s.offsets)
         head = np.zeros(len(starts), bool)  # a word at a text's beginning has a blank put before it
         head[np.searchsorted(starts, begins)] = True
-        ids = s.ids.fill_null(0).to_numpy(zero_copy_only=False)
-        variant = np.repeat(self.variant(ids, s.ids.is_null().to_numpy(zero_copy_only=False)), np.diff(first))
-        hashes = mix(s.hashes(starts, ends) + head.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-        keyed = mix(hashes + variant * U64(0xA24BAED4963EE407))
-        keyed, where, back = np.unique(keyed, return_index=True, return_inverse=True)
-        if len(self.known) + len(keyed) > KEPT:
-            self.clear()
-        slot = self._find(keyed)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            at = where[new]
-            raw = data.tobytes()
-            words = [(" " if h else "") + raw[a:b].decode() for a, b, h in zip(starts[at].tolist(), ends[at].tolist(), head[at].tolist())]
-            self._add(keyed[new], variant[at], words)
-            slot = self._find(keyed)
-        k = slot[back]
-        per = self.count[k]
-        out = self.pool[ranges(self.begin[k], per)].astype(np.int64)
+        raw = data.tobytes()
+        words = lambda at: [(" " if h else "") + raw[a:b].decode() for a, b, h in zip(starts[at].tolist(), ends[at].tolist(), head[at].tolist())]
+        if self.skip:
+            own = self.text_keys(s.ids.fill_null(0).to_numpy(zero_copy_only=False), s.ids.is_null().to_numpy(zero_copy_only=False))
+            per_text = np.diff(first)
+            position = (starts - np.repeat(s.offsets[:-1], per_text)).astype(U64)
+            keys = mix(np.repeat(own, per_text) + position * U64(0xA24BAED4963EE407))
+            found = [self._segment(words(slice(k, k + WORDS)), keys[k : k + WORDS]) for k in range(0, len(starts), WORDS)]
+            out, per = (np.concatenate(x) for x in zip(*found))
+        else:
+            hashes = mix(s.hashes(starts, ends) + head.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+            hashes, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+            if len(self.known) + len(hashes) > KEPT:
+                self.clear()
+            slot = self._find(hashes)
+            new = np.flatnonzero(slot < 0)
+            if len(new):
+                self._add(hashes[new], words(where[new]))
+                slot = self._find(hashes)
+            k = slot[back]
+            per = self.count[k]
+            out = self.pool[ranges(self.begin[k], per)].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(per)])
         return out, np.diff(total[first])
 
 
 @lru_cache
-def cached(path: str, dropout: float, seed: int, variants: int) -> Encoder:
-    return Encoder(path, dropout, seed, variants)
+def cached(path: str, dropout: float, seed: int) -> Encoder:
+    return Encoder(path, dropout, seed)
 
 
-def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
-    """(id, ids array<int>) of each row; one pass, no shuffle."""
+def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 0, variants: int | None = None) -> DataFrame:
+    """(id, ids array<int>) of each row; one pass, no shuffle. variants is accepted and has no effect: nothing is shared."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = cached(model_path, dropout, seed, variants)
+        encoder = cached(model_path, dropout, seed)
         for batch, s in slices(batches):
             ids, counts = encoder.encode(s)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -356,7 +367,7 @@ def decode(df: DataFrame, model_path: str, keep: list[str], ids_col: str = "ids"
     kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = cached(model_path, 0.0, 0, 1).model
+        model = cached(model_path, 0.0, 0).model
         for batch in batches:
             texts = [model.decode(np.array(x, np.int64)).decode() if x else "" for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*keep, "text"])
@@ -364,16 +375,16 @@ def decode(df: DataFrame, model_path: str, keep: list[str], ids_col: str = "ids"
     return rows.mapInArrow(run, f"{kinds}, text string")
 
 
-def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
+def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 0, variants: int | None = None) -> DataFrame:
     """Encodes and decodes each text in one pass: (id, n_tokens, ids_crc32, decoded_crc32, lossless).
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit integers, decoded_crc32 over the
-    decoded text's UTF-8 bytes; lossless says whether those bytes are the text's.
+    decoded text's UTF-8 bytes; lossless says whether those bytes are the text's. variants has no effect.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = cached(model_path, dropout, seed, variants)
+        encoder = cached(model_path, dropout, seed)
         model = encoder.model
         for batch, s in slices(batches):
             ids, counts = encoder.encode(s)

@@ -167,6 +167,23 @@ def test_pieces_round_trip_with_dropout(spark, docs, empty):
     assert pieces.round_trip(empty, path).count() == 0
 
 
+def test_pieces_dropout_varies_by_document_and_place(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    rows = spark.createDataFrame([(i, " ".join(["international"] * 300)) for i in (0, 1, 2, 3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in pieces.encode(rows, path, dropout=0.3, seed=1).collect()}
+    assert len({tuple(x) for x in got.values()}) == 5  # exact copies differ
+    model = pieces.cached(path, 0.3, 1).model
+    ways, word = set(), []
+    for i in sum(got.values(), []):
+        if word and model.bytes_of[i][:1] == b" ":
+            ways.add(tuple(word))
+            word = []
+        word.append(i)
+    assert len(ways) > 20
+    again = {r.doc_id: r.ids for r in pieces.encode(rows.repartition(3), path, dropout=0.3, seed=1).collect()}
+    assert again == got
+
+
 def test_sharding(spark, docs, empty):
     rows = sharding.assign_shards(docs, 3000).collect()
     assert len(rows) == docs.count()
