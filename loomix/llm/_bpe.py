@@ -1,13 +1,16 @@
 """Byte-level BPE over slices of texts, with each distinct piece encoded once.
 
 The tokenizers library encodes a piece the first time it occurs in a worker. Pieces are the
-library's own: where a text is cut depends on its characters alone and not on the vocabulary,
-so a piece has the same ids wherever it stands.
+library's own: where a text is cut depends on its characters and on the strings of added tokens
+in it, and not on the rest of the vocabulary, so a piece has the same ids wherever it stands. The
+string of an added token, such as <|endoftext|>, is a piece of its own and gets that token's id, as
+the library does. If an added token also looks at its surroundings, texts with one are a piece each.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -35,10 +38,11 @@ def classes() -> np.ndarray:
     return table
 
 
-def pieces(s: Slice) -> tuple[np.ndarray, np.ndarray]:
+def pieces(s: Slice, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of all pieces' starts, and the number of the first piece of each text.
 
-    Pieces follow one another without gaps.
+    Pieces follow one another without gaps; the byte ranges from low to high are one each, and what
+    lies between them is cut as texts of their own.
     """
     n = len(s.data)
     if not n:
@@ -48,6 +52,8 @@ def pieces(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     kind = classes()[code]
     begins = np.zeros(len(code) + 1, bool)  # a text begins here
     begins[np.searchsorted(at, s.offsets)] = True
+    low, high = np.searchsorted(at, low), np.searchsorted(at, high)
+    begins[low] = begins[high] = True
     m = len(code)
     same = np.zeros(m, bool)
     same[1:] = kind[1:] == kind[:-1]
@@ -71,6 +77,7 @@ def pieces(s: Slice) -> tuple[np.ndarray, np.ndarray]:
                 if q + 1 + len(e) < m:
                     cut[q + 1 + len(e)] = cut[q + 1 + len(e)] or kind[q + 1 + len(e)] == LETTER
                 break
+    cut[ranges(low + 1, high - low - 1)] = False
     starts = at[cut]
     return starts, np.searchsorted(starts, s.offsets)
 
@@ -81,7 +88,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [x for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        self.plain = not any(x.single_word or x.lstrip or x.rstrip or x.normalized or "\n" in x.content for x in added)
+        # Leftmost, then longest.
+        self.added = re.compile(b"|".join(re.escape(x.content.encode()) for x in sorted(added, key=lambda x: -len(x.content.encode())))) if added else None
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
@@ -96,7 +106,7 @@ class Encoder:
         plain = [not x.isspace() and "\n" not in x for x in texts]
         out: list = [None] * len(texts)
         lines, rest = [i for i, p in enumerate(plain) if p], [i for i, p in enumerate(plain) if not p]
-        if len(self.line_feed) != 1:
+        if len(self.line_feed) != 1 or not self.plain:
             lines, rest = [], list(range(len(texts)))
         for k in range(0, len(lines), 1000):
             part = lines[k : k + 1000]
@@ -129,9 +139,19 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, self.slot[at], -1)
 
+    def _whole(self, s: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """The byte ranges that aren't cut: strings of added tokens, or the whole texts that hold one."""
+        data, found = s.data.tobytes(), []
+        if self.added is not None and self.added.search(data):
+            for a, b in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist()):
+                own = [m.span() for m in self.added.finditer(data, a, b)]
+                found += own if self.plain or not own else [(a, b)]
+        low, high = np.array(found, np.int64).reshape(-1, 2).T
+        return low, high
+
     def encode(self, s: Slice, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and the number of each text's."""
-        starts, first = pieces(s)
+        starts, first = pieces(s, *self._whole(s))
         ends = np.append(starts[1:], len(s.data))[: len(starts)]
         hashes, where, back = np.unique(s.hashes(starts, ends), return_index=True, return_inverse=True)
         if len(self.known) + len(hashes) > KEPT:

@@ -13,7 +13,8 @@ A chunk's ids are cut into blocks of ``block`` ids; a block is transposed into i
 planes (``planes="bit"``) or 4 byte planes (``planes="byte"``), so that the seldom used high
 bits of all ids lie together and compress to almost nothing.
 
-Defined results: a null or empty text yields only the end id; rows with a null id are sorted
+Defined results: the string of an added token in a text, such as <|endoftext|>, gets that token's id, as in
+the library; a null or empty text yields only the end id; rows with a null id are sorted
 first, in files as any other, with their id stored as the smallest int64 and read as null;
 repeated rows are written as often as they occur; an empty table writes no file and reads as
 an empty table; other columns are ignored.

@@ -351,3 +351,24 @@ def test_planes_round_trip():
         for block in (8, 64, 4096):
             assert (token_files.restore_planes(token_files.shuffle_planes(ids, block, planes), len(ids), block, planes) == ids).all()
 
+
+def test_token_files_with_added_tokens(spark, tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}  x", f"a  {end}\n\n b's{end}'s {end} 's\tü{end}ü", "<|endof", "text|>", "'", f"s{end[:-1]} {end} {end}{end[1:]}\n{end}\n", "no such token"]
+    path = tokenizer_path("byte_bpe_50k.json")
+    other = str(tmp_path / "other.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.add_tokens([AddedToken("such", single_word=True), AddedToken("<|x|>", lstrip=True, rstrip=True)])
+    tokenizer.save(other)
+    texts += ["nosuch such", " <|x|> \n a <|x|>b "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for p in (path, other):
+        start, tokenizer = 0, Tokenizer.from_file(p)
+        got = {r.doc_id: r for r in token_files.token_files(df, p).collect()}
+        for i, text in enumerate(texts):
+            ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+            assert (got[i].ids, got[i].start, got[i].n_tokens) == (ids, start, len(ids)), text
+            assert got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+            start += len(ids)
