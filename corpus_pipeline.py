@@ -30,9 +30,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at a similarity of 0.8 of their 5-word shingles the first one stays."""
-    first = jaccard.similar_groups(docs, threshold="0.8", shingle=5).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(save(first, "first"), "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of documents linked at a similarity of 0.8 of their 5-word shingles the first one stays.
+
+    Rows with a null id and texts without words are linked with nothing and stay. The first is the row of the
+    smallest id. Rows that repeat an id are decided each by its own text: in such a table rows are known by a
+    64-bit hash of id and text, which also breaks ties of the id, and of equal ones the smallest of the other columns stays.
+    """
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        first = jaccard.similar_groups(known, threshold="0.8", shingle=5).where("doc_id = component_id").select("doc_id")
+        kept = known.join(save(first, "first"), "doc_id", "left_semi").select(*COLUMNS)
+    else:
+        known = known.withColumn("key", F.xxhash64("doc_id", F.col("text").isNull(), "text"))
+        groups = save(jaccard.similar_groups(known, threshold="0.8", shingle=5, id_col="key"), "row_groups").distinct()
+        wordy = groups.where("n_shingles > 0").join(known.select("key", "doc_id").distinct(), "key")
+        first = save(wordy.groupBy("component_id").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key")).select("key"), "first")
+        once = known.join(first, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+        kept = once.unionByName(known.join(groups.where("n_shingles = 0"), "key", "left_semi").select(*COLUMNS))
+    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -372,3 +372,21 @@ def test_token_files_with_added_tokens(spark, tmp_path):
             assert (got[i].ids, got[i].start, got[i].n_tokens) == (ids, start, len(ids)), text
             assert got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
             start += len(ids)
+
+
+def test_jaccard_stage_keeps_null_ids_and_decides_rows(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    text, lone, third = " ".join(base), " ".join(f"v{k}" for k in range(30)), " ".join(f"u{k}" for k in range(30))
+    unique = [(None, text), (None, text), (None, None), (1, text), (2, near), (3, lone), (4, ""), (5, None)]
+    repeated = [*unique, (2, third), (2, third), (3, lone), (4, ""), (0, lone), (6, third)]
+    kept = {0: [(None, text), (None, text), (None, None), (1, text), (3, lone), (4, ""), (5, None)]}
+    # 2's near copy of 1 goes although 2's other row is a group's first; of its equal rows one stays.
+    kept[1] = [(None, text), (None, text), (None, None), (1, text), (0, lone), (2, third), (4, ""), (4, ""), (5, None)]
+    order = lambda rows: sorted(rows, key=repr)
+    for rows, want in ((unique, kept[0]), (repeated, kept[1])):
+        df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        assert order((r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, df, "").collect()) == order(want)
+        assert corpus_pipeline.jaccard_stage(spark, df.where("false"), "").count() == 0
