@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import mix, slices
@@ -151,20 +151,20 @@ class Model:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4000, dimensions: int = DIMENSIONS) -> Model:
-    """Learns from a bounded sample of labelled rows: for each language the ``sample / languages`` rows (at least 50) that come first by a hash of their id.
+    """Learns every language of the labelled rows, each from the ``sample / languages`` rows (at least 50) that come first by a hash of their id.
 
-    The driver receives that many feature vectors at most.
+    The driver receives that many feature vectors at most: ``sample``, or 50 for each language where that is more.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample // 50).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model({}, np.zeros((0, dimensions + 1), np.float32), {})
     each = max(50, sample // len(counts))
     order = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    picked = [rows.where(F.col("lang") == code).where(order < min(1 << 30, int((1 << 30) * 2.0 * each / n) + 1)).orderBy(order, "id").limit(each) for code, n in counts.items()]
-    chosen = picked[0]
-    for x in picked[1:]:
-        chosen = chosen.unionByName(x)
+    bounds = [(code, min(1 << 30, int((1 << 30) * 2.0 * each / n) + 1)) for code, n in counts.items()]
+    near = rows.join(F.broadcast(df.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where(order < F.col("bound"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= each).select("id", "text", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, s in slices(batches, max_rows=512):
@@ -172,7 +172,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             x = features(s, dimensions).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(keep)), pa.array([r.tobytes() for r in x[keep]], pa.binary())], ["lang", "x"])
 
-    found = chosen.mapInArrow(vectors, "lang string, x binary").collect()
+    found = sorted(chosen.mapInArrow(vectors, "lang string, x binary").collect(), key=lambda r: (r["lang"], bytes(r["x"])))
     if not found:
         return Model({}, np.zeros((0, dimensions + 1), np.float32), {})
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in found]).astype(np.float32)

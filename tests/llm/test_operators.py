@@ -390,3 +390,14 @@ def test_jaccard_stage_keeps_null_ids_and_decides_rows(spark):
         df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
         assert order((r.doc_id, r.text) for r in corpus_pipeline.jaccard_stage(spark, df, "").collect()) == order(want)
         assert corpus_pipeline.jaccard_stage(spark, df.where("false"), "").count() == 0
+
+
+def test_language_learns_every_label(spark):
+    own = {f"l{k:02d}": [f"{a}{b}{a}" for b in "aeiou"] for k, a in enumerate(["b", "c", "d", "f", "g", "h", "k", "l", "m", "n", "p", "r"])}
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(w) for _ in range(20)), l) for k, (l, w) in enumerate(own.items()) for i in range(100 * k, 100 * k + 8 + 5 * k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, sample=400)  # room for eight languages of 50 rows
+    assert sorted(sum(model.families.values(), [])) == sorted(own)
+    got = {r.doc_id: r.lang_pred for r in language.predict(df, model, ["doc_id"]).collect()}
+    assert sum(got[i] == l for i, _, l in rows) / len(rows) > 0.97
