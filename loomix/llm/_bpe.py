@@ -5,20 +5,23 @@ library's own: where a text is cut depends on its characters and on the strings
 in it, and not on the rest of the vocabulary, so a piece has the same ids wherever it stands. The
 string of an added token, such as <|endoftext|>, is a piece of its own and gets that token's id, as
 the library does. If an added token also looks at its surroundings, texts with one are a piece each.
+Pieces are looked up by hash and compared by their bytes. A tokenizer that normalises texts or cuts them
+in another way than by the public byte-level pattern gets whole texts as pieces.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-from ._text import Slice, ranges
+from ._text import Slice, ranges, same_bytes
 
 #: Pieces kept by a worker; when there are more, it starts anew. Memory only: results don't depend on it.
-KEPT = 3_000_000
+KEPT, KEPT_BYTES = 3_000_000, 1 << 26
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: The endings that the public byte-level pattern cuts off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -92,21 +95,25 @@ class Encoder:
         self.plain = not any(x.single_word or x.lstrip or x.rstrip or x.normalized or "\n" in x.content for x in added)
         # Leftmost, then longest.
         self.added = re.compile(b"|".join(re.escape(x.content.encode()) for x in sorted(added, key=lambda x: -len(x.content.encode())))) if added else None
+        rules = json.loads(self.tokenizer.to_str())
+        cutter = rules.get("pre_tokenizer") or {}
+        self.byte_level = not rules.get("normalizer") and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.known = np.zeros(0, np.uint64)  # hashes of the pieces, ascending
         self.slot = np.zeros(0, np.int64)  # where each is in begin and count
-        self.begin, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32)
-        self.used = 0
+        self.begin, self.count, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32), 0
+        # The bytes of the piece in each slot.
+        self.raw_begin, self.raw_size, self.raw, self.raw_used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint8), 0
 
     def _encode_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number for pieces; many are encoded as lines of one string, for speed."""
         plain = [not x.isspace() and "\n" not in x for x in texts]
         out: list = [None] * len(texts)
         lines, rest = [i for i, p in enumerate(plain) if p], [i for i, p in enumerate(plain) if not p]
-        if len(self.line_feed) != 1 or not self.plain:
+        if len(self.line_feed) != 1 or not self.plain or not self.byte_level:
             lines, rest = [], list(range(len(texts)))
         for k in range(0, len(lines), 1000):
             part = lines[k : k + 1000]
@@ -121,15 +128,24 @@ class Encoder:
             out[i] = np.array(e.ids, np.uint32)
         return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array([len(x) for x in out], np.int64)
 
-    def _add(self, hashes: np.ndarray, texts: list[str]) -> None:
-        ids, counts = self._encode_pieces(texts)
+    def _store(self, pieces: list[bytes]) -> np.ndarray:
+        """Encodes pieces, which get new slots."""
+        ids, counts = self._encode_pieces([x.decode() for x in pieces])
+        raw, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(x) for x in pieces], np.int64)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.raw_used + len(raw) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
         self.pool[self.used : self.used + len(ids)] = ids
-        known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, len(self.begin) + np.arange(len(hashes))])
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.used += len(ids)
+        self.raw[self.raw_used : self.raw_used + len(raw)] = raw
+        slots = len(self.begin) + np.arange(len(pieces))
+        self.begin, self.count = np.concatenate([self.begin, self.used + np.cumsum(counts) - counts]), np.concatenate([self.count, counts])
+        self.raw_begin, self.raw_size = np.concatenate([self.raw_begin, self.raw_used + np.cumsum(sizes) - sizes]), np.concatenate([self.raw_size, sizes])
+        self.used, self.raw_used = self.used + len(ids), self.raw_used + len(raw)
+        return slots
+
+    def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, self._store(pieces)])
         order = np.argsort(known, kind="stable")
         self.known, self.slot = known[order], slot[order]
 
@@ -151,19 +167,30 @@ class Encoder:
 
     def encode(self, s: Slice, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and the number of each text's."""
-        starts, first = pieces(s, *self._whole(s))
+        if self.byte_level:
+            starts, first = pieces(s, *self._whole(s))
+        else:
+            starts = s.offsets[:-1][np.diff(s.offsets) > 0]
+            first = np.searchsorted(starts, s.offsets)
         ends = np.append(starts[1:], len(s.data))[: len(starts)]
-        hashes, where, back = np.unique(s.hashes(starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(hashes) > KEPT:
+        every = s.hashes(starts, ends)
+        hashes, where, back = np.unique(every, return_index=True, return_inverse=True)
+        if len(self.known) + len(hashes) > KEPT or self.raw_used > KEPT_BYTES:
             self.clear()
+        data = s.data.tobytes()
+        text = lambda at: [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         slot = self._find(hashes)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            at = where[new]
-            data = s.data.tobytes()
-            self._add(hashes[new], [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            self._add(hashes[new], text(where[new]))
             slot = self._find(hashes)
         k = slot[back]
+        right = self.raw_size[k] == ends - starts
+        at = np.flatnonzero(right)
+        right[at] = same_bytes(s.data, starts[at], self.raw, self.raw_begin[k[at]], (ends - starts)[at])
+        wrong = np.flatnonzero(~right)
+        if len(wrong):  # other pieces of the same hash
+            k[wrong] = self._store(text(wrong))
         per = self.count[k]
         ids = self.pool[ranges(self.begin[k], per)]
         total = np.concatenate([[0], np.cumsum(per)])

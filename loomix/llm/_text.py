@@ -43,34 +43,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-@lru_cache
-def byte_codes(seed: int, lower: bool) -> np.ndarray:
-    """A random odd 64-bit code for each byte; with lower, A-Z share the codes of a-z."""
-    codes = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1)
-    if lower:
-        codes[65:91] = codes[97:123]
-    return codes
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+#: Bytes with A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: The lowest n bytes of a 64-bit word.
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, U64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(16, (n - 1).bit_length())
-            with np.errstate(over="ignore"):
-                self.up, self.down = (
-                    np.concatenate([[U64(1)], np.cumprod(np.full(size - 1, b, U64))]) for b in (U64(self.base), U64(self.inverse))
-                )
-        return self.up[:n], self.down[:n]
-
-
-_BYTES = _Powers(0x9E3779B97F4A7C15)
-_WORDS = (_Powers(0xD1342543DE82EF95), _Powers(0xAF251AF3B0F025B5))
+def key_of(seed: int) -> np.ndarray:
+    return np.array([seed * 0x9E3779B97F4A7C15 & (2**64 - 1)], U64)
 
 
 class Slice:
@@ -98,11 +79,23 @@ class Slice:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 11) -> np.ndarray:
-        """A 64-bit hash of each byte range."""
-        up, down = _BYTES.upto(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(byte_codes(seed, lower)[self.data] * up[:-1], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+        """A 64-bit hash of each byte range; those of two seeds are independent.
+
+        Every 8 bytes are mixed with their place in the range and the seed, and the results summed up and mixed.
+        """
+        raw = (LOWER[self.data] if lower else self.data).tobytes() + bytes(8)
+        words = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))  # the 8 bytes from each byte on
+        sizes, key = ends - starts, key_of(seed)
+        many = (sizes + 7) >> 3
+        if many.max(initial=0) <= 1:
+            total = mix((words[starts] & LOW_BYTES[sizes]) ^ mix(key))
+        else:
+            many = np.maximum(many, 1)
+            first = np.cumsum(many) - many
+            place = np.arange(int(many.sum())) - np.repeat(first, many)
+            at, left = np.repeat(starts, many) + 8 * place, np.minimum(np.repeat(sizes, many) - 8 * place, 8)
+            total = np.add.reduceat(mix((words[at] & LOW_BYTES[left]) ^ mix(place.astype(U64) + key)), first)
+        return mix(total + sizes.astype(U64))
 
 
 @lru_cache
@@ -136,23 +129,48 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES, max_
             first = last
 
 
-def windows(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """Hashes of all runs of k words, by the run's first word; runs over the end of a text are included."""
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in this order."""
+    return mix(left * U64(0x9FB21C651E98DF25) + (right ^ U64(0x5851F42D4C957F2D)))
+
+
+def windows(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, by the run's first word; runs over the end of a text are included.
+
+    Hashes of runs of 2, 4, 8 ... words are joined from those of half as many, and a run of k from such runs.
+    """
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    up, down = _WORDS[which].upto(len(words) + 1)
-    total = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * up[:-1], out=total[1:])
-    return mix((total[k:] - total[:n]) * down[:n])
-
-
-def sequence_hashes(words: np.ndarray, first: np.ndarray, which: int = 0) -> np.ndarray:
+    of_size, size = {1: words}, 1
+    while 2 * size <= k:
+        of_size[2 * size] = joined(of_size[size][:-size], of_size[size][size:])
+        size *= 2
+    out, done = of_size[size][:n], size
+    while done < k:
+        size = 1 << ((k - done).bit_length() - 1)
+        out = joined(out, of_size[size][done : done + n])
+        done += size
+    return out
+
+
+def sequence_hashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A hash of each text's whole sequence of words."""
-    up, down = _WORDS[which].upto(len(words) + 1)
     total = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * up[:-1], out=total[1:])
-    return mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + (first[1:] - first[:-1]).astype(U64))
+    count = np.diff(first)
+    place = np.arange(len(words)) - np.repeat(first[:-1], count)
+    np.cumsum(mix(words ^ mix(place.astype(U64) + U64(0xD1342543DE82EF95))), out=total[1:])
+    return mix((total[first[1:]] - total[first[:-1]]) ^ mix(count.astype(U64)))
+
+
+def same_bytes(a: np.ndarray, starts: np.ndarray, b: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the byte ranges of these sizes that start at ``starts`` in a and at ``others`` in b are equal."""
+    unlike = a[ranges(starts, sizes)] != b[ranges(others, sizes)]
+    if not unlike.any():
+        return np.ones(len(sizes), bool)
+    total = np.concatenate([[0], np.cumsum(unlike)])
+    ends = np.cumsum(sizes)
+    return total[ends] == total[ends - sizes]
 
 
 def of_text(first: np.ndarray) -> np.ndarray:

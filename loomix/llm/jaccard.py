@@ -1,32 +1,32 @@
 """N-gram Jaccard join: groups of documents whose sets of word shingles are similar.
 
-The join is exact up to hashing (64-bit hashes of shingles, 48 bits of them in the verification).
-Documents with equal sets are one class and are joined once, as their smallest id.
-
-Candidates. Let a set of n shingles, sorted by hash, be cut after its first n - a + K, its K-prefix,
-where a is the least overlap that the threshold leaves it. Two linked sets share at least K shingles
-of their K-prefixes. A shingle is *frequent* if more than ``frequent`` prefixes hold it, else *rare*.
-
-* A set's prefix is extended: K is the least number, up to 16, for which its K-prefix holds fewer than K
-  frequent shingles. Two linked sets then share a rare one in the shorter extension, so single rare
-  shingles are indexed and frequent ones, such as those of common passages, aren't.
-* Sets for which no such K exists consist of frequent shingles mostly; they are *heavy*. They index their
-  rare shingles at K = 16, and combinations of two frequent ones: shingles are dealt into K' - 1 groups by
-  hash, where K' depends on the size class, and two sets that share K' shingles share two of one group.
-* Sets of fewer than 23 shingles also index each shingle of their 1-prefix for one another.
-
-A count-min sketch first finds the prefix shingles that may occur in two documents; others are not
-even written. Neighbours on an index entry aren't all paired: each is verified against the entry's
-first document, components are formed, and only pairs of the entry that are still apart follow.
-Candidates must pass length and prefix bounds before whole sets are compared. Heavy sets that
-combinations connect form clusters, compared in blocks of 512 by blocks of like sizes, of which only
-a spanning forest of links comes back.
-
-Defined results: a null or empty text, or one without words, has an empty set and links with nothing;
-a text with fewer words than a shingle has one shingle, its whole sequence; rows with a null id get a
-row with a null component; rows that repeat an id get a row each, by their own texts, and ids should be unique
-where texts differ: such rows may have different components; an empty table gives an empty result; other columns
-are ignored.
+The join is exact up to 64-bit hashes of shingles. Documents with equal sets are one class (size and two
+64-bit sums over the set) and are joined once, as their smallest id. Let a be the least overlap that the
+threshold leaves a set of n. In any order of shingles that all sets agree on, two linked sets share at least
+K shingles of their first n - a + K, their K-prefixes.
+
+1. *Which sets can link at all.* A set's shingles in order of their hashes: those of its K-prefix, K being
+   a tenth of n, are dealt out by shingle, and a set stays if enough of them also occur in another document.
+   A task settles shingles that its own documents share, and sends on one of each, so that a shingle of a
+   third of all documents has a row for each task. Nothing is broadcast, and the shuffle grows with the text.
+2. *Order by rarity.* Of the sets that stay, all shingles are counted among these sets. A set without a
+   repeated shingles goes; the others take their shingles from rare to frequent (shared by more than
+   ``frequent`` sets), then by hash.
+3. *Index.* A set's prefix is extended: K is the least number, up to 16, for which its K-prefix holds fewer
+   than K frequent shingles. Two linked sets then share a rare one in the shorter extension, so single rare
+   shingles are indexed. Sets for which no such K exists are *heavy*: they index their rare shingles up to
+   the largest K' of their size classes, and combinations of two frequent ones: shingles are dealt into
+   K' - 1 groups by hash, where K' depends on the size class, so that of K' shared ones two are of one group.
+4. *Verification.* Members of an index entry aren't all paired. First every set is compared with one entry's
+   first document, then with the first ones it is still apart from; components are formed in between. Of
+   entries that hold several components, the pairs between these follow: for a rare shingle, held by at most
+   ``frequent`` sets, as pairs; for combinations in blocks of 512 sets by blocks of other components.
+   The length bound holds everywhere, and links are whole sets' exact overlaps.
+
+Defined results: a null or empty text, or one without words, has an empty set and links with nothing; a text
+with fewer words than a shingle has one shingle, its whole sequence; rows with a null id get a row with a null
+component; rows that repeat an id get a row each, by their own texts (they link only if their texts do), with
+the smallest id reachable as component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,19 +41,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import components, save
+from ._store import components, drop, save
 from ._text import U64, WHITE_SEP, Slice, lists, mix, sequence_hashes, signed, slices, windows
-from .substring import bitmap_of_repeated, in_bitmap
 
 EXTEND = 16
-SMALL = 23
 BLOCK = 512
+#: Prefix shingles that a task holds before it looks for those that its own documents share.
+HELD = 1_000_000
+ENTRY = ["kind", "k1", "k2"]
+#: Kinds of index entries besides size classes, which are those of combinations.
+SINGLE, TINY = -1, -2
 
 
 class Threshold:
     """Exact integer forms of Jaccard >= t."""
 
     def __init__(self, t: Fraction):
+        if not Fraction(1, 3) < t <= 1:
+            raise ValueError("the threshold must lie above 1/3, and at 1 at most")
         self.t = t
 
     def least(self, n: int) -> int:
@@ -66,9 +71,17 @@ class Threshold:
         return -((-top * (n + m)) // bottom)
 
     def spare(self, n: int) -> int:
-        """How far the written prefix reaches beyond n - least(n)."""
+        """How far the indexed prefix reaches beyond n - least(n)."""
         return max(EXTEND, n * 7 // 100)
 
+    def first(self, n: int) -> int:
+        """The K of the prefix in which step 1 looks for shared shingles."""
+        return min(max(EXTEND, n // 10), self.least(n))
+
+    def shared(self, n: int) -> int:
+        """Shingles of that prefix that a set of n shares with any partner, who may be smaller and so have a smaller K."""
+        return self.first(self.least(n))
+
 
 def shingle_sets(s: Slice, k: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The sorted distinct shingle hashes (int64) of each text, and the numbers of words."""
@@ -83,80 +96,209 @@ def shingle_sets(s: Slice, k: int) -> tuple[list[np.ndarray], np.ndarray]:
     return out, count
 
 
-def _prefixes(rows: DataFrame, k: int, limit: Threshold, bitmap, bits: int) -> DataFrame:
-    """(id, n, d1, d2, tau, tokens, ranks): of each set its size, digest, the largest hash of the written
-    prefix, and of the prefix the shingles that may be repeated, with their ranks."""
+def _sizes(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bitmap.value
+        for _, s in slices(batches):
+            yield pa.RecordBatch.from_arrays([s.ids, pa.array([len(x) for x in shingle_sets(s, k)[0]], pa.int64())], ["id", "n"])
+
+    return docs.mapInArrow(run, "id long, n long")
+
+
+def _documents(docs: DataFrame, k: int, limit: Threshold) -> DataFrame:
+    """(id, n, d1, d2, hits): of each document its set's size and digests, and how many shingles of its first prefix are shared."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids, info, reach, flat = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            doc = np.repeat(np.arange(len(ids)), reach)
+            order = np.argsort(flat, kind="stable")
+            flat, doc = flat[order], doc[order]
+            new = np.ones(len(flat), bool)
+            new[1:] = flat[1:] != flat[:-1]
+            begin = np.flatnonzero(new)
+            many = np.diff(np.append(begin, len(flat)))
+            hits = np.bincount(doc[np.repeat(many, many) > 1], minlength=len(ids))
+            one, several = begin[many == 1], begin[many > 1]
+            # Rows of three kinds: a document; a shingle settled here (empty info); a shingle that one document here has.
+            raw = np.column_stack([info, hits]).astype("<i8").tobytes()
+            rows = [raw[32 * i : 32 * i + 32] for i in range(len(ids))] + [b""] * len(several) + [None] * len(one)
+            key = np.concatenate([signed(mix(ids.view(U64) + U64(1))), flat[several], flat[one]])
+            yield from pa.Table.from_arrays([pa.array(key), pa.array(np.concatenate([ids, ids[doc[several]], ids[doc[one]]])), pa.array(rows, pa.binary())], ["token", "id", "info"]).to_batches(max_chunksize=1 << 16)
+
         for _, s in slices(batches):
             sets, _ = shingle_sets(s, k)
             n = np.array([len(x) for x in sets], np.int64)
-            reach = [min(m, m - limit.least(m) + limit.spare(m)) for m in n.tolist()]
-            flat = np.concatenate([x[:r] for x, r in zip(sets, reach)])
-            reach = np.array(reach, np.int64)
-            ranks = np.arange(len(flat)) - np.repeat(np.cumsum(reach) - reach, reach)
-            keep = in_bitmap(held, flat.view(U64), bits)
-            per = np.bincount(np.repeat(np.arange(len(n)), reach)[keep], minlength=len(n))
-            d1 = np.array([x.sum() if len(x) else 0 for x in sets], np.int64)
-            d2 = np.array([mix(x.view(U64)).view(np.int64).sum() if len(x) else 0 for x in sets], np.int64)
-            tau = np.array([x[r - 1] if r else 0 for x, r in zip(sets, reach.tolist())], np.int64)
-            yield pa.RecordBatch.from_arrays([s.ids, pa.array(n), pa.array(d1), pa.array(d2), pa.array(tau), lists(flat[keep], per, pa.int64()), lists(ranks[keep].astype(np.int32), per, pa.int32())], ["id", "n", "d1", "d2", "tau", "tokens", "ranks"])
-
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, tau long, tokens array<long>, ranks array<int>")
-
-
-def _index(reps: DataFrame, limit: Threshold, frequent: int) -> tuple[DataFrame, DataFrame]:
-    """(token, id, n) of the single-shingle index, and (cls, t1, t2, id) of the combinations."""
-    postings = reps.select("id", F.arrays_zip("tokens", "ranks").alias("z")).select("id", F.explode("z").alias("z")).select("id", F.col("z.tokens").alias("token"))
-    counts = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    counts = save(counts, "counts")
-    common = counts.where(F.col("df") > frequent).select("token")
-    often = save(postings.join(common, "token").groupBy("id").agg(F.collect_set("token").alias("often")), "often")
-    rows = reps.join(often, "id", "left").select("id", "n", "tokens", "ranks", "often")
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reach = np.array([m - limit.least(m) + limit.first(m) for m in n.tolist()], np.int64)
+            d1 = np.array([x.sum() for x in sets], np.int64)
+            d2 = np.array([mix(x.view(U64)).view(np.int64).sum() for x in sets], np.int64)
+            held.append((s.ids.to_numpy(), np.column_stack([n, d1, d2]), reach, np.concatenate([x[:r] for x, r in zip(sets, reach.tolist())])))
+            if sum(len(x[3]) for x in held) > HELD:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by token. Gives each document's row, and (id, hits) of shared shingles not settled before."""
+        last, alone = None, None  # the token of the row before; its document, if so far only one has it
+        names = ["id", "n", "d1", "d2", "hits"]
+        for batch in batches:
+            sizes = np.diff(np.frombuffer(batch.column(2).buffers()[1], np.int32)[batch.column(2).offset : batch.column(2).offset + batch.num_rows + 1]) if batch.num_rows else np.zeros(0, np.int64)
+            of_doc = sizes > 0
+            info = np.frombuffer(b"".join(batch.column(2).filter(pa.array(of_doc)).to_pylist()), "<i8").reshape(-1, 4)
+            doc_ids = batch.column(1).filter(pa.array(of_doc))
+            yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(np.ascontiguousarray(info[:, i]), pa.int64()) for i in range(4))], names)
+            token, ids = (batch.column(i).to_numpy()[~of_doc] for i in range(2))
+            done = batch.column(2).is_valid().to_numpy(zero_copy_only=False)[~of_doc]  # settled by its task
+            if not len(token):
+                continue
+            new = np.ones(len(token), bool)
+            new[1:] = token[1:] != token[:-1]
+            begin = np.flatnonzero(new)
+            many = np.diff(np.append(begin, len(token)))
+            shared = (many > 1) | (np.add.reduceat(done, begin) > 0)
+            late = []
+            if last == token[0]:
+                if alone is not None:
+                    late.append(alone)
+                shared[0] = True
+            hit = ids[np.repeat(shared, many) & ~done]
+            if not shared[-1]:
+                last, alone = token[-1], ids[-1]
+            else:
+                last, alone = token[-1], None
+            who, hits = np.unique(np.concatenate([hit, np.array(late, np.int64)]), return_counts=True)
+            none = pa.nulls(len(who), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), none, none, none, pa.array(hits, pa.int64())], names)
+
+    dealt = docs.mapInArrow(emit, "token long, id long, info binary").repartition("token").sortWithinPartitions("token")
+    rows = dealt.mapInArrow(settle, "id long, n long, d1 long, d2 long, hits long")
+    return rows.groupBy("id").agg(F.max("n").alias("n"), F.max("d1").alias("d1"), F.max("d2").alias("d2"), F.sum("hits").alias("hits"))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, n, shingles): the whole sets, as sorted 64-bit numbers, of the documents with these ids.
+
+    A bitmap of the ids, of bounded size, lets most other documents be skipped before the join;
+    texts are dealt out, which are smaller than sets.
+    """
+    size = 1 << 23
+    cell = F.pmod(F.xxhash64("id"), F.lit(size)).cast("int")
+    packed = np.zeros(size // 8, np.uint8)
+    words = ids.select(cell.alias("c")).groupBy(F.shiftright("c", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("c").bitwiseAND(31))).alias("b"))
+    for part in words.collect():
+        packed[part["w"] * 4 : part["w"] * 4 + 4] = np.frombuffer(int(part["b"]).to_bytes(4, "little"), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            c = batch.column(2).to_numpy()
+            keep = pa.array((held[c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["id", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, s in slices(batches):
+            sets, _ = shingle_sets(s, k)
+            yield pa.RecordBatch.from_arrays([s.ids, pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "shingles"])
+
+    found = docs.withColumn("c", cell).mapInArrow(likely, "id long, text string")
+    return found.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, n long, shingles binary")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The ids and sizes of some sets, and all their shingles."""
+    for batch in _parts(batches, rows):
+        if batch.num_rows:
+            yield batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+
+
+def _prefixes(sets: DataFrame, limit: Threshold, frequent: int) -> DataFrame:
+    """(id, n, tokens, ranks, often) of the sets that can link: of the indexed prefix, in order of rarity, the shingles
+    that several sets have, with their ranks and whether they are frequent."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for _, _, flat in _tokens(batches):
+            held.append(flat)
+            if sum(map(len, held)) > HELD:
+                yield counted(held)
+        if held:
+            yield counted(held)
+
+    def counted(held: list) -> pa.RecordBatch:
+        token, many = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(many.astype(np.int32))], ["token", "m"])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, n, flat in _tokens(batches, 64):
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n).astype(np.int32))], ["token", "id", "n"])
+
+    counts = sets.mapInArrow(local, "token long, m int").groupBy("token").agg(F.sum("m").alias("df")).where("df > 1")
+    counts = save(counts.select("token", F.least("df", F.lit(2**31 - 1)).cast("int").alias("df")), "counts")
+    marked = sets.mapInArrow(apart, "token long, id long, n int").join(counts, "token")
+    per = marked.groupBy("id", "n").agg(F.collect_list(F.struct("df", "token")).alias("x"))
+    top, bottom = limit.t.numerator, limit.t.denominator
+    per = per.where(F.size("x") >= F.expr(f"(n * {top}L + {bottom - 1}) div {bottom}"))
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            ids, sizes, tokens, small = [], [], [], []
-            for i, n, tok, rank, often in zip(*(c.to_pylist() for c in batch.columns)):
-                tok, rank = np.array(tok, np.int64), np.array(rank, np.int64)
-                is_often = np.isin(tok, np.array(often, np.int64)) if often else np.zeros(len(tok), bool)
-                cut = n - limit.least(n)
-                k, _ = extension(rank[is_often], cut, min(EXTEND, limit.least(n)))
-                own = tok[~is_often & (rank < cut + k)]
-                first = tok[rank < cut + 1] if n < SMALL else own[:0]
-                ids += [i] * (len(own) + len(first))
-                sizes += [n] * (len(own) + len(first))
-                small += [False] * len(own) + [True] * len(first)
-                tokens += [own, first]
-            yield pa.RecordBatch.from_arrays([pa.array(small, pa.bool_()), pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], ["small", "token", "id", "n"])
-
-    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not batch.num_rows:
+                continue
+            x = batch.column(2)
+            size = np.diff(x.offsets.to_numpy())
+            df, token = (x.flatten().field(i).to_numpy() for i in range(2))
+            n = batch.column(1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(n)), size)
+            by = np.lexsort((token, df, row))
+            first = np.cumsum(size) - size
+            rank = np.arange(len(df)) - first[row] + (n - size)[row]  # shingles of no other set come first
+            keep = rank < np.array([m - limit.least(m) + limit.spare(m) for m in n.tolist()])[row]
+            per = np.bincount(row[keep], minlength=len(n))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n), lists(token[by][keep], per, pa.int64()), lists(rank[keep].astype(np.int32), per, pa.int32()), lists(df[by][keep] > frequent, per, pa.bool_())],
+                ["id", "n", "tokens", "ranks", "often"],
+            )
+
+    return per.mapInArrow(order, "id long, n long, tokens array<long>, ranks array<int>, often array<boolean>")
+
+
+def _entries(reps: DataFrame, limit: Threshold) -> DataFrame:
+    """(kind, k1, k2, id, n) of the index: single rare shingles, combinations of frequent ones, and shingles of sets so small
+    that one shared shingle links them with a set of one."""
+    tiny = int(1 / limit.t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            out: list = []
+            out: list = [(np.zeros(0, np.int32), *(np.zeros(0, np.int64),) * 4)]
+
+            def put(kind: int, one: np.ndarray, two: np.ndarray | None, i: int, n: int) -> None:
+                out.append((np.full(len(one), kind, np.int32), one, np.zeros(len(one), np.int64) if two is None else two, np.full(len(one), i), np.full(len(one), n)))
+
             for i, n, tok, rank, often in zip(*(c.to_pylist() for c in batch.columns)):
-                if not often:
-                    continue
-                tok, rank = np.array(tok, np.int64), np.array(rank, np.int64)
-                is_often = np.isin(tok, np.array(often, np.int64))
-                cut = n - limit.least(n)
-                if not extension(rank[is_often], cut, min(EXTEND, limit.least(n)))[1]:
-                    continue
-                for cls, k in classes(n, limit):
-                    use = tok[is_often & (rank < cut + k)]
-                    group = (mix(use.view(U64)) % U64(k - 1)).astype(np.int64)
-                    for g in np.unique(group):
-                        own = use[group == g]
-                        a, b = np.triu_indices(len(own), 1)
-                        out.append((np.full(len(a), cls, np.int32), own[a], own[b], np.full(len(a), i)))
-            if out:
-                cls, one, two, ids = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int32()), *(pa.array(x, pa.int64()) for x in (one, two, ids))], ["cls", "t1", "t2", "id"])
-
-    return (
-        rows.mapInArrow(single, "small boolean, token long, id long, n long"),
-        rows.where("often is not null").mapInArrow(combined, "cls int, t1 long, t2 long, id long"),
-    )
+                tok, rank, often = np.array(tok, np.int64), np.array(rank, np.int64), np.array(often, bool)
+                cut, most = n - limit.least(n), min(EXTEND, limit.least(n))
+                reach, heavy = extension(rank[often], cut, most)
+                if heavy:
+                    reach = max([reach, *(k for _, k in classes(n, limit))])
+                    for cls, k in classes(n, limit):
+                        use = tok[often & (rank < cut + k)]
+                        group = (mix(use.view(U64)) % U64(k - 1)).astype(np.int64)
+                        for g in np.unique(group):
+                            own = np.sort(use[group == g])
+                            a, b = np.triu_indices(len(own), 1)
+                            put(cls, own[a], own[b], i, n)
+                put(SINGLE, tok[~often & (rank < cut + reach)], None, i, n)
+                if n <= tiny and tiny > 1:
+                    put(TINY, tok, None, i, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], [*ENTRY, "id", "n"])
+
+    return reps.mapInArrow(run, "kind int, k1 long, k2 long, id long, n long")
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -195,64 +337,10 @@ def like_sizes(n, m, limit: Threshold):
     return F.least(n, m) * limit.t.denominator >= F.greatest(n, m) * limit.t.numerator
 
 
-def _bounded(pairs: DataFrame, reps: DataFrame, limit: Threshold) -> DataFrame:
-    """The pairs (a, b), of like sizes, that the prefix bound leaves."""
-    top, bottom = limit.t.numerator, limit.t.denominator
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tau").alias(f"tau_{x}"), F.col("tokens").alias(f"tok_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    need = F.ceil(F.lit(top) * (F.col("n_a") + F.col("n_b")) / F.lit(top + bottom) - 1e-9)
-    shared = F.array_intersect("tok_a", "tok_b")
-    reach = lambda x: F.least(F.col(f"n_{x}"), F.col(f"n_{x}") - F.ceil(F.lit(top) * F.col(f"n_{x}") / F.lit(bottom) - 1e-9) + F.greatest(F.lit(EXTEND), F.floor(F.col(f"n_{x}") * 7 / 100)))
-    tau = F.least("tau_a", "tau_b")
-    known = F.size(F.filter(shared, lambda t: t <= tau))
-    rest = F.when(F.col("tau_a") <= F.col("tau_b"), F.col("n_a") - reach("a")).otherwise(F.col("n_b") - reach("b"))
-    return both.where(known + rest >= need).select("a", "b")
-
-
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, shingles): the whole sets, as sorted 48-bit numbers of six bytes, of the documents with these ids;
-    a row for each text of an id that repeats with other texts.
-
-    A bitmap of the ids, of bounded size, lets most other documents be skipped before the join.
-    """
-    size = 1 << 23
-    cell = F.pmod(F.xxhash64("id"), F.lit(size)).cast("int")
-    packed = np.zeros(size // 8, np.uint8)
-    words = ids.select(cell.alias("c")).groupBy(F.shiftright("c", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("c").bitwiseAND(31))).alias("b"))
-    for part in words.collect():
-        packed[part["w"] * 4 : part["w"] * 4 + 4] = np.frombuffer(int(part["b"]).to_bytes(4, "little"), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        for batch in batches:
-            c = batch.column(2).to_numpy()
-            keep = pa.array((held[c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0)
-            for _, s in slices(iter([batch.filter(keep)])):
-                sets, _ = shingle_sets(s, k)
-                digest = pa.array([int(x.sum()) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([s.ids, digest, pa.array([pack(x) for x in sets], pa.binary())], ["id", "digest", "shingles"])
-
-    found = docs.withColumn("c", cell).mapInArrow(run, "id long, digest long, shingles binary")
-    return found.join(ids, "id", "left_semi").dropDuplicates(["id", "digest"]).drop("digest")
-
-
-def pack(hashes: np.ndarray) -> bytes:
-    """Six bytes of each hash."""
-    return np.ascontiguousarray(hashes.astype("<i8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return np.sort(raw.view("<i8").reshape(-1))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, limit: Threshold) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    ids = save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = save(_sets(docs, ids, k), "sets")
-    both = pairs.join(sets.toDF("b", "s_b"), "b").join(sets.toDF("a", "s_a"), "a").select("a", "b", "s_a", "s_b")
+def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar. Both joins are of plain tables, so that a document of very many pairs is split."""
+    own = sets.select("id", "shingles")
+    both = pairs.select("a", "b").join(own.toDF("b", "s_b"), "b").join(own.toDF("a", "s_a"), "a").select("a", "b", "s_a", "s_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,69 +348,67 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, limit: Threshold) -> Da
             last = held = None
             for x, y in zip(batch.column(2), batch.column(3)):
                 if (data := x.as_buffer().to_pybytes()) != last:
-                    last, held = data, unpack(data)
-                y = unpack(y.as_buffer().to_pybytes())
-                good.append(len(np.intersect1d(held, y, assume_unique=True)) >= limit.need(len(held), len(y)))
+                    last, held = data, np.frombuffer(data, np.int64)
+                y = np.frombuffer(y.as_buffer(), np.int64)
+                at = np.minimum(np.searchsorted(held, y), len(held) - 1)
+                good.append(int((held[at] == y).sum()) >= limit.need(len(held), len(y)))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _heavy_links(combos: DataFrame, reps: DataFrame, docs: DataFrame, k: int, limit: Threshold) -> DataFrame:
-    """A spanning forest of the links within each pair of blocks of sets that combinations connect.
+def _block_links(apart: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """A spanning forest of the links between components that share combinations. apart: ENTRY, id, n, lead, c.
 
-    Two linked heavy sets share an entry, so they are of one cluster: a component of the graph that joins
-    each set with the first of each of its entries. A cluster is compared once, whatever number of entries
-    its sets share. Its blocks hold sets of like sizes and meet only where the length bound allows.
+    Sets that entries connect form clusters. Within a cluster and size class a component of a block's size or more has
+    blocks of its own, smaller ones share blocks; blocks meet, two at a time, unless both are of one component or their
+    sizes differ too much.
     """
-    first = save(combos.groupBy("cls", "t1", "t2").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m"), "combo_leads")
-    edges = combos.join(first, ["cls", "t1", "t2"]).where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    cluster = save(components(edges).join(reps.select("id", "n"), "id").select("id", "n", F.col("component_id").alias("cluster")), "clusters")
-    if cluster.isEmpty():
-        return docs.sparkSession.createDataFrame([], "a long, b long")
     step = math.log(limit.t.denominator / limit.t.numerator)
-    member = cluster.withColumn("cls", F.floor(F.log("n") / F.lit(step) + 1e-9).cast("int"))
-    sizes = save(member.groupBy("cluster", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "cluster_sizes")
-    member = member.join(sizes, ["cluster", "cls"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # Linked sets are of one size class or of neighbouring ones: a block meets those of its class and of the next.
-    above = sizes.select("cluster", (F.col("cls") - 1).alias("cls"), F.col("parts").alias("above"))
-    below = sizes.select("cluster", (F.col("cls") + 1).alias("cls"), F.col("parts").alias("below"))
-    member = member.join(above, ["cluster", "cls"], "left").join(below, ["cluster", "cls"], "left")
-    count = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-    side = lambda cls, i: F.struct(cls.cast("int").alias("cls"), i.cast("int").alias("part"))
-    own = F.transform(count("parts"), lambda j: F.struct(side(F.col("cls"), F.least(F.col("part"), j)).alias("low"), side(F.col("cls"), F.greatest(F.col("part"), j)).alias("high")))
-    up = F.transform(count("above"), lambda j: F.struct(side(F.col("cls"), F.col("part")).alias("low"), side(F.col("cls") + 1, j).alias("high")))
-    down = F.transform(count("below"), lambda j: F.struct(side(F.col("cls") - 1, j).alias("low"), side(F.col("cls"), F.col("part")).alias("high")))
-    spread = member.select("cluster", "id", "cls", "part", F.explode(F.concat(own, up, down)).alias("p")).select("cluster", "id", "cls", "part", "p.low", "p.high")
-    spread = spread.select("cluster", F.col("low.cls").alias("c1"), F.col("low.part").alias("p1"), F.col("high.cls").alias("c2"), F.col("high.part").alias("p2"), "id", ((F.col("cls") == F.col("low.cls")) & (F.col("part") == F.col("low.part"))).alias("first"))
-    sets = save(_sets(docs, save(cluster.select("id"), "heavy"), k), "heavy_sets")
+    edges = apart.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    cluster = components(edges).withColumnRenamed("component_id", "cluster")
+    cls = F.floor(F.log("n") / F.lit(step) + 1e-9).cast("int") if step else F.lit(0)
+    member = save(apart.select("id", "n", "c").distinct().join(cluster, "id").withColumn("cls", cls), "clusters")
+    sizes = member.groupBy("cluster", "cls", "c").agg(F.count("*").alias("m"))
+    large = F.when(F.col("m") >= BLOCK, F.col("c"))
+    shape = save(sizes.select("cluster", "cls", "c", "m", large.alias("own")), "component_sizes")
+    blocks = shape.groupBy("cluster", "cls", "own").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("parts"))
+    name = lambda own, part: F.xxhash64("cluster", "cls", own.isNull(), own, part)
+    member = member.join(shape.select("cluster", "cls", "c", "own"), ["cluster", "cls", "c"])
+    member = member.join(blocks.withColumnRenamed("own", "o"), (member["cluster"] == blocks["cluster"]) & (member["cls"] == blocks["cls"]) & member["own"].eqNullSafe(F.col("o"))).select(member["cluster"], member["cls"], "own", "id", "c", "parts")
+    member = member.withColumn("part", F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("c")).otherwise(F.col("id"))), F.col("parts")).cast("int"))
+    member = save(member.select("cluster", "cls", "own", "id", "c", name(F.col("own"), F.col("part")).alias("block")), "members")
+    every = save(member.select("cluster", "cls", "own", "block").distinct(), "blocks")
+    one, two = every.toDF("cluster", "c1", "o1", "low"), every.toDF("cluster", "c2", "o2", "high")
+    meet = one.join(two, "cluster").where("low <= high and abs(c1 - c2) <= 1 and not (o1 is not null and o1 <=> o2)").select("low", "high")
+    meet = save(meet, "meet")
+    sides = meet.select("low", "high", F.col("low").alias("block")).unionByName(meet.where("low <> high").select("low", "high", F.col("high").alias("block")))
+    spread = member.select("id", "c", "block").join(sides, "block").join(sets.select("id", "shingles"), "id")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _compare(pdf, limit, key[1:3] == key[3:5])
+        return _compare(pdf, limit)
 
-    return spread.join(sets, "id").groupBy("cluster", "c1", "p1", "c2", "p2").applyInPandas(compare, "a long, b long")
+    return spread.groupBy("low", "high").applyInPandas(compare, "a long, b long")
 
 
-def _compare(pdf: pd.DataFrame, limit: Threshold, same: bool) -> pd.DataFrame:
+def _compare(pdf: pd.DataFrame, limit: Threshold) -> pd.DataFrame:
+    """A spanning forest of the links between sets of different components."""
     pdf = pdf.sort_values("id", ignore_index=True)
-    sets = [unpack(bytes(x)) for x in pdf["shingles"]]
-    size = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    vocabulary, column = np.unique(flat, return_inverse=True)
+    sets = [np.frombuffer(x, np.int64) for x in pdf["shingles"]]
+    size, group = np.array([len(x) for x in sets]), pdf["c"].to_numpy()
+    vocabulary, column = np.unique(np.concatenate(sets), return_inverse=True)
     m, ids = len(sets), pdf["id"].to_numpy()
     row = np.repeat(np.arange(m), size)
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
     overlap = np.zeros((m, m), np.float32)
     for k in range(0, len(vocabulary), 2048):
-        part = (column >= k) & (column < k + 2048)
+        a, b = np.searchsorted(column, (k, k + 2048))
         x = np.zeros((m, min(2048, len(vocabulary) - k)), np.float32)
-        x[row[part], column[part] - k] = 1
+        x[row[a:b], column[a:b] - k] = 1
         overlap += x @ x.T
-    linked = overlap >= limit.need(size[:, None], size[None, :])
-    if not same:
-        first = pdf["first"].to_numpy()
-        linked &= first[:, None] != first[None, :]
-    # A spanning forest by repeated search.
+    linked = (overlap >= limit.need(size[:, None], size[None, :])) & (group[:, None] != group[None, :])
     seen, out = np.zeros(m, bool), []
     for start in range(m):
         if seen[start]:
@@ -338,50 +424,80 @@ def _compare(pdf: pd.DataFrame, limit: Threshold, same: bool) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def similar_groups(df: DataFrame, threshold: str = "0.8", shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", frequent: int = 64, sketch_bits: int = 28) -> DataFrame:
+def _links(entries: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """Links (a, b) between sets whose components are those of all links. entries: ENTRY, id, n."""
+    lead = F.min(F.struct(F.when(F.col("kind") == TINY, F.col("n")).otherwise(0).alias("o"), "id", "n"))
+    leads = entries.groupBy(*ENTRY).agg(lead.alias("lead"), F.count("*").alias("m")).where("m > 1")
+    leads = save(leads.select(*ENTRY, F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "leads")
+    members = save(entries.join(leads, ENTRY), "members")
+    star = members.where("id <> lead").where(like_sizes("n", "lead_n", limit)).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    once = save(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "once")
+    links = save(_verified(once, sets, limit), "links")
+
+    def placed(rows: DataFrame, group: DataFrame) -> DataFrame:
+        here = rows.join(group, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+        return here
+
+    group = save(components(links), "groups")
+    root = lambda rows, x: rows.join(group.toDF(x, f"c_{x}"), x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", x))
+    again = root(root(star.distinct(), "a"), "b").where("c_a <> c_b").select("a", "b").join(once, ["a", "b"], "left_anti")
+    again = save(again, "again")
+    if not again.isEmpty():
+        links = save(links.unionByName(_verified(again, sets, limit)), "links")
+        group = save(components(links), "groups")
+
+    # Entries whose sets are still apart: the pairs between components.
+    here = placed(members.where(F.col("kind") != TINY), group)
+    here = save(here, "placed")
+    apart = here.groupBy(*ENTRY).agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2 and (m > 2 or kind <> -1)").select(*ENTRY)
+    left = save(here.join(apart, ENTRY), "apart")
+    single = left.where(F.col("kind") == SINGLE)
+    two = single.select("k1", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
+    rest = single.select("k1", F.col("id").alias("a"), "n", F.col("c").alias("ca")).join(two, "k1").where("a < b and ca <> cb").where(like_sizes("n", "m", limit)).select("a", "b").distinct()
+    tried = once.unionByName(again)
+    rest = save(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    more = [] if rest.isEmpty() else [_verified(rest, sets, limit)]
+    combined = left.where(F.col("kind") >= 0)
+    if not combined.isEmpty():
+        more.append(_block_links(combined, sets, limit))
+    for x in more:
+        links = links.unionByName(x)
+    links = save(links, "links")
+    drop(leads, members, here, left)
+    return links
+
+
+def similar_groups(df: DataFrame, threshold: str = "0.8", shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", frequent: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) of each row; component_id is the smallest id reachable by links."""
     limit = Threshold(Fraction(threshold))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = docs.where("id is not null")
-
-    def tokens(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-        sets, _ = shingle_sets(s, shingle)
-        cut = [x[: len(x) - limit.least(len(x)) + limit.spare(len(x))] for x in sets]
-        return np.concatenate(cut).view(U64), np.repeat(np.arange(len(cut)), [len(x) for x in cut])
-
-    bitmap, bits = bitmap_of_repeated(known, tokens, per_byte=0.22 / 6, sketch_bits=sketch_bits)
-    table = save(_prefixes(docs, shingle, limit, bitmap, bits), "prefixes")
-    full = table.where("id is not null and n > 0")
-    classes_ = save(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    reps = save(full.join(classes_.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", "tau", "tokens", "ranks").dropDuplicates(["id", "n", "tau"]), "reps")
-    single, combos = _index(reps, limit, frequent)
-    single, combos = save(single, "single"), save(combos, "combos")
-
-    entries = single.groupBy("small", "token").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
-    entries = save(entries.select("small", "token", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "entries")
-    members = save(single.join(entries, ["small", "token"]).select("small", "token", "id", "n", "lead", "lead_n"), "members")
-    tried = save(members.where("id <> lead").where(like_sizes("n", "lead_n", limit)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "tried")
-    links = _verified(save(_bounded(tried, reps, limit), "candidates"), known, shingle, limit)
-    links = save(links.unionByName(_heavy_links(combos, reps, known, shingle, limit)), "links")
-
-    # Entries whose documents are still apart: their remaining pairs.
-    group = save(components(links), "groups")
-    placed = members.join(group, "id", "left").select("small", "token", "id", "n", "lead", "lead_n", F.coalesce("component_id", "id").alias("c"))
-    placed = save(placed, "placed")
-    apart = placed.groupBy("small", "token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2 and m > 2").select("small", "token")
-    left = save(placed.join(save(apart, "apart"), ["small", "token"]).where("id <> lead or n <> lead_n"), "left")
-    two = left.select("small", "token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
-    rest = left.select("small", "token", F.col("id").alias("a"), "n", F.col("c").alias("ca")).join(two, ["small", "token"])
-    rest = rest.where("a < b and ca <> cb").where(like_sizes("n", "m", limit)).select("a", "b").distinct()
-    rest = save(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = _verified(save(_bounded(rest, reps, limit), "candidates"), known, shingle, limit)
-    group = save(components(links.unionByName(more)), "groups")
+    known, nameless = docs.where("id is not null"), docs.where("id is null")
+    repeats = not known.groupBy("id").count().where("count > 1").isEmpty()
+    if repeats:  # rows of one id are told apart by their texts
+        known = known.select("id", F.xxhash64("id", F.col("text").isNull(), "text").alias("key"), "text")
+        names, known = save(known.select("id", "key"), "keys"), known.select(F.col("key").alias("id"), "text")
+
+    rows = save(_documents(known, shingle, limit), "documents")
+    same = save(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.max("hits").alias("hits")), "classes")
+    top, bottom = limit.t.numerator, limit.t.denominator
+    least = lambda n: f"(({n}) * {top}L + {bottom - 1}) div {bottom}"
+    first = f"least(greatest({EXTEND}, ({least('n')}) div 10), {least(least('n'))})"  # Threshold.shared
+    ids = save(same.where(f"hits >= {first}").select(F.col("rep").alias("id")), "likely")
+    sets = save(_sets(known, ids, shingle), "sets")
+    prefixes = save(_prefixes(sets, limit, frequent), "prefixes")
+    entries = save(_entries(prefixes, limit), "entries")
+    group = save(components(_links(entries, sets, limit)), "groups")
+    drop(sets, prefixes, entries, ids)
 
     # From classes back to rows.
-    per = classes_.join(group.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("n", "d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
-    rows = full.select("id", "n", "d1", "d2").join(save(per, "per_class"), ["n", "d1", "d2"]).select("id", "n", "component_id")
-    others = table.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return rows.unionByName(others).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    per = same.join(group.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("n", "d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
+    found = rows.where("n > 0").join(per, ["n", "d1", "d2"]).select("id", "n", "component_id").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    if repeats:
+        found = save(names.join(found.withColumnRenamed("id", "key"), "key"), "named")
+        lowest = found.where("n > 0").groupBy("component_id").agg(F.min("id").alias("lowest"))
+        found = found.join(lowest, "component_id", "left").select("id", "n", F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("id")).alias("component_id"))
+    others = _sizes(nameless, shingle).select("id", "n", F.lit(None).cast("long").alias("component_id"))
+    return found.unionByName(others).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def oracle() -> str:

@@ -10,7 +10,7 @@ the places of a word in a text differ.
 Words (a run of blanks and what follows up to the next blank) are segmented apart, which is
 exact when no piece has a blank after another character; this is verified when the model is
 loaded. Symbols that no piece can span cut words further. The merges of many words advance side
-by side in arrays.
+by side in arrays. Words segmented before are looked up by hash and compared by their bytes.
 
 Decoding joins the pieces, byte pieces as bytes, and drops the blank put before the text. It gives
 back every text: the sign U+2581, which stands for a blank in pieces, is written as bytes when it
@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import U64, Slice, mix, ranges, slices
+from ._text import U64, Slice, mix, ranges, same_bytes, slices
 
 SPACE = 0x2581
 #: Words kept by a worker when nothing is skipped; when there are more, it starts anew. Memory only.
-KEPT = 1_000_000
+KEPT, KEPT_BYTES = 1_000_000, 1 << 25
 #: Words whose occurrences are segmented at once; a long text has more. Memory only.
 WORDS = 1 << 16
 
@@ -234,6 +234,8 @@ class Encoder:
         self.known, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 20, np.uint16 if self.model.size <= 65536 else np.uint32), 0
+        # The bytes of the word in each slot, with the blank before it.
+        self.raw_begin, self.raw_size, self.raw, self.raw_used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint8), 0
 
     def text_keys(self, ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
         """A hash of the seed and each text's id."""
@@ -282,16 +284,25 @@ class Encoder:
         ids[ranges(at[part_bad], per_part[part_bad])] = model.byte[np.frombuffer(b"".join(bad_bytes), np.uint8)]
         return ids, np.bincount(part_word, weights=per_part, minlength=len(words)).astype(np.int64)
 
-    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _store(self, words: list[str]) -> np.ndarray:
+        """Segments words, which get new slots."""
         ids, per_word = self._segment(words, None)
+        raw = [w.encode() for w in words]
+        sizes, raw = np.array([len(w) for w in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.raw_used + len(raw) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
         self.pool[self.used : self.used + len(ids)] = ids
-        known = np.concatenate([self.known, hashes])
-        slot = np.concatenate([self.slot, len(self.begin) + np.arange(len(hashes))])
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(per_word) - per_word])
-        self.count = np.concatenate([self.count, per_word])
-        self.used += len(ids)
+        self.raw[self.raw_used : self.raw_used + len(raw)] = raw
+        slots = len(self.begin) + np.arange(len(words))
+        self.begin, self.count = np.concatenate([self.begin, self.used + np.cumsum(per_word) - per_word]), np.concatenate([self.count, per_word])
+        self.raw_begin, self.raw_size = np.concatenate([self.raw_begin, self.raw_used + np.cumsum(sizes) - sizes]), np.concatenate([self.raw_size, sizes])
+        self.used, self.raw_used = self.used + len(ids), self.raw_used + len(raw)
+        return slots
+
+    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
+        known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, self._store(words)])
         order = np.argsort(known, kind="stable")
         self.known, self.slot = known[order], slot[order]
 
@@ -328,7 +339,7 @@ class Encoder:
         else:
             hashes = mix(s.hashes(starts, ends) + head.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
             hashes, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(self.known) + len(hashes) > KEPT:
+            if len(self.known) + len(hashes) > KEPT or self.raw_used > KEPT_BYTES:
                 self.clear()
             slot = self._find(hashes)
             new = np.flatnonzero(slot < 0)
@@ -336,6 +347,14 @@ class Encoder:
                 self._add(hashes[new], words(where[new]))
                 slot = self._find(hashes)
             k = slot[back]
+            sizes, extra = ends - starts, head.astype(np.int64)
+            right = self.raw_size[k] == sizes + extra
+            at = np.flatnonzero(right)
+            blank_first = ~head[at] | (self.raw[self.raw_begin[k[at]]] == 0x20)
+            right[at] = blank_first & same_bytes(data, starts[at], self.raw, self.raw_begin[k[at]] + extra[at], sizes[at])
+            wrong = np.flatnonzero(~right)
+            if len(wrong):  # other words of the same hash
+                k[wrong] = self._store(words(wrong))
             per = self.count[k]
             out = self.pool[ranges(self.begin[k], per)].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(per)])

@@ -43,14 +43,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def runs(s, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the starts of all runs within one text, their anchors, and the first word of each text."""
+def runs(s, window: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, their byte ranges, the starts of all runs within one text, their anchors, and the first word of each text."""
     starts, ends, first = s.tokens(WHITE_SEP)
     words = s.hashes(starts, ends)
     at = whole_runs(first, window)
     width = min(ANCHOR, window)
     anchors = sliding_min(windows(words, width), window - width + 1)
-    return words, at, anchors[at], first
+    return words, (starts, ends), at, anchors[at], first
 
 
 def cells(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def repeated(rows: DataFrame, window: int, sketch_bits: int) -> DataFrame:
     """
 
     def anchors_of(s) -> tuple[np.ndarray, np.ndarray]:
-        _, at, anchors, first = runs(s, window)
+        _, _, at, anchors, first = runs(s, window)
         text = of_text(first)[at]
         new = np.ones(len(at), bool)
         new[1:] = (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1])
@@ -161,11 +161,11 @@ def repeated(rows: DataFrame, window: int, sketch_bits: int) -> DataFrame:
             yield _rows(mix(who.view(U64)).view(np.int64), np.zeros(len(who), np.int64), who, np.zeros(len(who), np.int64), packed)
 
         for _, s in slices(batches):
-            words, at, anchors, first = runs(s, window)
+            words, spans, at, anchors, first = runs(s, window)
             at = at[in_bitmap(bitmap, anchors, bits)] if len(at) else at
             if len(at):
                 text = np.searchsorted(first, at, side="right") - 1
-                held.append((signed(windows(words, window)[at]), signed(windows(words, window, 1)[at]), s.ids.to_numpy()[text], at - first[text]))
+                held.append((signed(windows(words, window)[at]), signed(windows(s.hashes(*spans, seed=12), window)[at]), s.ids.to_numpy()[text], at - first[text]))
             if sum(len(x[0]) for x in held) > HELD:
                 yield from flush()
         if held:
