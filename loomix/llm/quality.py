@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import apart
 from ._text import WHITE_SEP, lines, mix, of_text, slices
 from .language import held_out
 
@@ -34,6 +35,8 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
+
+
 def line_features(s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of each line, its weight, and the first line of each text."""
     starts, ends, first = lines(s)
@@ -135,7 +138,7 @@ class Model:
 
     @classmethod
     def fit(cls, x: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = 250, reg: float = 1e-3) -> Model:
-        """Maximises the penalised conditional likelihood by Adam; the classes of documents weigh the same."""
+        """Maximises the penalised conditional likelihood by Adam; every line weighs the same."""
         mean, scale = x.mean(0), x.std(0) + 1e-3
         mean[-1], scale[-1] = 0, 1
         x = ((x - mean) / scale).astype(np.float64)
@@ -164,28 +167,39 @@ class Model:
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 6000, max_lines: int = 400_000) -> Model | None:
-    """Learns from at most ``sample`` labelled documents, those first by a hash of their id.
+    """Learns from at most ``sample`` labelled documents, those first by a hash of their id, and at most ``max_lines`` lines.
 
-    The driver gets their line features; documents are left out once ``max_lines`` lines are there.
+    In that order a document is taken if its lines still fit, so one of more than ``max_lines`` lines never is. The
+    driver gets the number of lines of ``sample`` documents, then the line features of those taken.
     """
     order = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").orderBy(order, "id", "label").limit(sample)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("id", "text", "label")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) + 1
+    # Rows that repeat an id are told apart by a hash of their text, and bounded like the labels.
+    own = F.xxhash64("text")
+    listed = texts.join(F.broadcast(picked), "id").select("id", "label", order.alias("o"), own.alias("h"), n_lines.cast("long").alias("n"))
+    listed = listed.groupBy("id", "label", "o", "h", "n").agg(F.count("*").alias("m")).orderBy("o", "id", "h", "label").limit(sample).collect()
+    taken, total = [], 0
+    for r in listed:
+        many = min(r["m"], (max_lines - total) // r["n"])
+        if many:
+            taken.append((r["id"], r["label"], r["h"], many))
+            total += many * r["n"]
+    if not taken:
+        return None
+    kind = texts.schema["id"].dataType.simpleString()
+    chosen = df.sparkSession.createDataFrame(taken, f"id {kind}, label int, h long, many long")
+    rows = texts.withColumn("h", own).join(F.broadcast(chosen), ["id", "h"]).select("id", "text", "label", "many").dropDuplicates(["id", "text", "label"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, s in slices(batches):
             x, _, first = line_features(s)
             x = x.astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary()), batch.column(0).cast(pa.string())], ["label", "x", "id"])
-
-    found, total = [], 0
-    for r in sorted(rows.mapInArrow(vectors, "label int, x binary, id string").collect(), key=lambda r: (r["id"], r["label"])):
-        x = np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH)
-        if total + len(x) <= max_lines:
-            found.append((x, r["label"]))
-            total += len(x)
-    if not found:
-        return None
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary()), batch.column(0).cast(pa.string()), batch.column(3)], ["label", "x", "id", "many"])
+
+    found = sorted(rows.mapInArrow(vectors, "label int, x binary, id string, many long").collect(), key=lambda r: (r["id"], r["label"], bytes(r["x"])))
+    found = [(np.frombuffer(r["x"], np.float16).reshape(-1, WIDTH), r["label"]) for r in found for _ in range(r["many"])]
     first = np.concatenate([[0], np.cumsum([len(x) for x, _ in found])])
     return Model.fit(np.concatenate([x for x, _ in found]).astype(np.float32), first, np.array([y for _, y in found]))
 
@@ -201,7 +215,7 @@ def score(df: DataFrame, model: Model | None, keep: list[str], text_col: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.float64())], [*names[2:], "score"])
 
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names[2:])
-    return rows.mapInArrow(value, f"{kinds}, score double").toDF(*keep, "score")
+    return rows.mapInArrow(value, f"{kinds}, score double").toDF(*keep, *apart(keep, "score"))
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, sample: int = 6000) -> DataFrame:
