@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import apart
 from ._text import mix, slices
 
 UND = "und"
@@ -55,21 +56,23 @@ FOLD, LETTER_BYTE = _tables()
 def features(s, dimensions: int = DIMENSIONS) -> np.ndarray:
     """One row of float32 features for each text of a slice."""
     n = len(s)
-    out = np.zeros(n * dimensions, np.float32)
     data = FOLD[s.data].astype(np.uint64)
     row = np.repeat(np.arange(n, dtype=np.int64) * dimensions, np.diff(s.offsets))
     key = np.zeros(len(data), np.uint64)
+    found = []
     for width in range(1, 5):
         if len(data) < width:
             break
         m = len(data) - width + 1
         key = (key[:m] << np.uint64(8)) | data[width - 1 :]
         inside = (row[:m] == row[width - 1 :]) & (key != np.uint64(0x20202020 >> (8 * (4 - width))))
-        cell = (mix(key + np.uint64(width << 40)) >> np.uint64(40)).astype(np.int64) & (dimensions - 1)
-        out += np.bincount((row[:m] + cell)[inside], minlength=n * dimensions).astype(np.float32)
-    out = np.sqrt(out.reshape(n, dimensions))
-    norm = np.sqrt((out * out).sum(1, keepdims=True))
-    return out / np.maximum(norm, 1e-9)
+        cell = (mix(key[inside] + np.uint64(width << 40)) >> np.uint64(40)).astype(np.int64) & (dimensions - 1)
+        found.append(row[:m][inside] + cell)
+    out = np.bincount(np.concatenate(found), minlength=n * dimensions) if found else np.zeros(n * dimensions, np.int64)
+    out = np.sqrt(out.astype(np.float32)).reshape(n, dimensions)
+    norm = np.sqrt(np.einsum("ij,ij->i", out, out))
+    out /= np.maximum(norm, 1e-9)[:, None]
+    return out
 
 
 def has_letter(s) -> np.ndarray:
@@ -124,23 +127,23 @@ class Model:
         names = list(self.families)
         if not names:
             return np.full(len(x), UND, object), np.zeros(len(x))
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
         link = lambda m: 1 / (1 + np.exp(-4.0 * m.astype(np.float64)))
         lang, score = np.full(len(x), UND, object), np.ones(len(x))
-        margin = x @ self.family_w.T
+        margin = x @ self.family_w[:, :-1].T + self.family_w[:, -1]
         best = margin.argmax(1)
         if len(names) > 1:
             score = link(margin.max(1))
         for k, f in enumerate(names):
             rows = np.flatnonzero(best == k)
-            codes = self.families[f]
+            codes, own = self.families[f], x[rows]
             if len(codes) == 1:
                 lang[rows] = codes[0]
                 continue
             votes = np.zeros((len(rows), len(codes)))
             least = np.full((len(rows), len(codes)), np.inf)
             for i, j in combinations(range(len(codes)), 2):
-                m = x[rows] @ self.pair_w[f, codes[i], codes[j]]
+                w = self.pair_w[f, codes[i], codes[j]]
+                m = own @ w[:-1] + w[-1]
                 votes[:, i] += (m > 0) + 1e-3 * np.tanh(m)
                 votes[:, j] += (m <= 0) - 1e-3 * np.tanh(m)
                 least[:, i], least[:, j] = np.minimum(least[:, i], m), np.minimum(least[:, j], -m)
@@ -192,7 +195,7 @@ def predict(df: DataFrame, model: Model, keep: list[str], text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], [*names[2:], "lang_pred", "score"])
 
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names[2:])
-    return rows.mapInArrow(label, f"{kinds}, lang_pred string, score double").toDF(*keep, "lang_pred", "score")
+    return rows.mapInArrow(label, f"{kinds}, lang_pred string, score double").toDF(*keep, *apart(keep, "lang_pred", "score"))
 
 
 def held_out(id_col: str = "doc_id"):
