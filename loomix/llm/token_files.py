@@ -16,7 +16,8 @@ bits of all ids lie together and compress to almost nothing.
 Defined results: the string of an added token in a text, such as <|endoftext|>, gets that token's id, as in
 the library; a null or empty text yields only the end id; rows with a null id are sorted
 first, in files as any other, with their id stored as the smallest int64 and read as null;
-repeated rows are written as often as they occur; an empty table writes no file and reads as
+rows that repeat an id follow one another in the order of a hash of their texts, then of the texts, each as
+often as it occurs; an empty table writes no file and reads as
 an empty table; other columns are ignored.
 """
 
@@ -116,7 +117,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, id_col: str = "d
     own name and moves the file into place at its end, so a task may be run again at any time.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id")
+    order = ["id", F.xxhash64("text"), "text"]
+    rows = rows.repartitionByRange(files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order[:2]).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
