@@ -6,14 +6,15 @@ join's necessary prefix is one shingle, and the rarest in the documents is taken
 narrowed by bounds - the shingle's offset in the window fixes where the window would have to lie, and
 it must fit into the document - and each candidate is verified word for word.
 
-Items are taken in blocks of about ``block_bytes`` of text; a block's index is broadcast, and a scan
-for each block counts its shingles and another finds its windows. No pass shuffles documents.
-
-Words are [0-9a-z] and all characters beyond ASCII, after lower-casing A-Z, and are compared by 64-bit
-hashes. Defined results: null and empty texts have no words; items without words or with a null id are
-left out; rows with a null id are judged as any other; repeated rows and items are judged each, an
-item id counting once; an empty table of documents gives an empty result, one of items hits nothing;
-other columns are ignored.
+Items are taken in blocks of about ``block_bytes`` of text, by a hash of id and text; a block's index, some
+dozen times its text, is broadcast, and a scan for each block counts its shingles and another finds its
+windows. No pass shuffles documents.
+
+Words are [0-9a-z] and all characters beyond ASCII, after lower-casing A-Z. Defined results: null and empty
+texts have no words; items without words or with a null id are left out; rows with a null id are judged as
+any other; repeated rows and items are judged each, an item id counting once; an empty table of documents
+gives an empty result, one of items hits nothing; other columns are ignored. A kept column of the name of a
+result leaves that name to the column, and the result gets kept_ before it.
 """
 
 from __future__ import annotations
@@ -22,60 +23,81 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import ALNUM_SEP, Bits, Slice, lists, ranges, signed, slices, whole_runs, windows
+from ._store import apart
+from ._text import ALNUM_SEP, LOWER, Bits, Slice, lists, of_text, ranges, same_bytes, signed, slices, whole_runs, windows
 
 
 class Windows:
-    """The distinct windows of some items, and their shingles."""
+    """The distinct windows of some items: words ``first`` to ``first + size``, and the items that hold each."""
 
     def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
         batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in items], pa.string()), pa.array([t for _, t in items], pa.string())], ["id", "text"])
-        found: dict[tuple, set[str]] = {}
-        for _, s in slices(iter([batch])):
-            starts, ends, first = s.tokens(ALNUM_SEP)
-            words = s.hashes(starts, ends, lower=True).tolist()
-            for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
-                for k in range(a, max(b - window, a) + 1 if b > a else a):
-                    found.setdefault(tuple(words[k : min(k + window, b)]), set()).add(s.ids[i].as_py())
-        self.words = list(found)
-        self.items = [sorted(x) for x in found.values()]
-        # Of each window its shingles: (length, hash, offset).
-        self.shingles = []
-        for w in self.words:
-            k = min(shingle, len(w))
-            self.shingles.append([(k, h, o) for o, h in enumerate(windows(np.array(w, np.uint64), k).tolist())])
+        _, s = next(slices(iter([batch]), max_bytes=1 << 62, max_rows=1 << 62)) if items else (None, Slice(batch.column(0), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool)))
+        self.data, self.shingle = LOWER[s.data], shingle
+        self.starts, self.ends, first = s.tokens(ALNUM_SEP)
+        words, other = (s.hashes(self.starts, self.ends, lower=True, seed=seed) for seed in (11, 12))
+        count = np.diff(first)
+        size = np.minimum(count, window)
+        at = ranges(first[:-1], np.where(count > 0, count - size + 1, 0))
+        item = of_text(first)[at] if len(at) else at
+        size = size[item]
+        # Windows are equal if two hashes and the size are.
+        key = np.zeros(len(at), np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<i8")]))
+        key["n"] = size
+        for n in np.unique(size).tolist():
+            own = size == n
+            key["a"][own], key["b"][own] = windows(words, n)[at[own]], windows(other, n)[at[own]]
+        _, one, back = np.unique(key, return_index=True, return_inverse=True)
+        self.first, self.size = at[one], size[one]
+        names, number = np.unique(s.ids.to_numpy(zero_copy_only=False).astype(object), return_inverse=True) if len(at) else (np.zeros(0, object), np.zeros(0, np.int64))
+        held = np.unique(np.column_stack([back.reshape(-1), number[item]]), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        self.names, self.item = names, held[:, 1]
+        self.item_first = np.searchsorted(held[:, 0], np.arange(len(one) + 1))
+        # The hash of the shingle that begins at each word, by the shingle's length.
+        self.hashes = {k: windows(words, k) for k in np.unique(np.minimum(self.size, shingle)).tolist()}
 
     def distinct(self) -> dict[int, np.ndarray]:
-        by: dict[int, set[int]] = {}
-        for x in self.shingles:
-            for k, h, _ in x:
-                by.setdefault(k, set()).add(h)
-        return {k: np.sort(np.array(list(v), np.uint64)) for k, v in by.items()}
+        length = np.minimum(self.size, self.shingle)
+        return {k: np.unique(h[np.unique(ranges(self.first[length == k], (self.size - k + 1)[length == k]))]) for k, h in self.hashes.items()}
 
 
 class Prefixes:
     """For each length of shingles: the prefix shingles, ascending, with the windows that they stand for."""
 
-    def __init__(self, held: Windows, counts: dict[tuple[int, int], int]):
+    def __init__(self, held: Windows, counts: dict[int, tuple[np.ndarray, np.ndarray]]):
+        """counts: by length, the shingles, ascending, and how often each occurs in the documents."""
         rows: dict[int, list] = {}
-        size = np.array([len(w) for w in held.words], np.int64)
-        for w, x in enumerate(held.shingles):
-            n, h, o, k = min((counts.get((k, h), 0), h, o, k) for k, h, o in x)
-            if n:  # else it occurs nowhere
-                rows.setdefault(k, []).append((h, w, o))
+        for n in np.unique(held.size).tolist():
+            own = np.flatnonzero(held.size == n)
+            k = min(held.shingle, n)
+            at = held.first[own][:, None] + np.arange(n - k + 1)
+            h = held.hashes[k][at]
+            keys, many = counts[k]
+            count = many[np.searchsorted(keys, h)]
+            # The rarest one, of the least hash among equals.
+            order = np.lexsort((np.broadcast_to(np.arange(n - k + 1), h.shape), h, count), axis=1)[:, 0]
+            pick = np.arange(len(own))
+            some = count[pick, order] > 0  # else it occurs nowhere
+            rows.setdefault(k, []).append((h[pick, order][some], own[some], order[some]))
         self.by = {}
         for k, x in rows.items():
-            x.sort()
-            h = np.array([a for a, _, _ in x], np.uint64)
-            keys, first, many = np.unique(h, return_index=True, return_counts=True)
-            self.by[k] = (keys, first, many, np.array([b for _, b, _ in x]), np.array([c for _, _, c in x]), first_look(keys))
-        self.size = size
-        self.words = np.concatenate([np.array(w, np.uint64) for w in held.words]) if held.words else np.zeros(0, np.uint64)
-        self.first = np.cumsum(size) - size
-        self.items = held.items
+            h, w, o = (np.concatenate(c) for c in zip(*x))
+            if not len(h):
+                continue
+            order = np.lexsort((o, w, h))
+            keys, first, many = np.unique(h[order], return_index=True, return_counts=True)
+            self.by[k] = (keys, first, many, w[order], o[order], first_look(keys))
+        self.size, self.first, self.data, self.starts, self.ends = held.size, held.first, held.data, held.starts, held.ends
+        self.names, self.item, self.item_first = held.names, held.item, held.item_first
+
+    def items(self, window: np.ndarray) -> list[str]:
+        """The items that hold any of these windows."""
+        window = np.unique(window)
+        return self.names[np.unique(self.item[ranges(self.item_first[window], np.diff(self.item_first)[window])])].tolist()
 
 
 def first_look(keys: np.ndarray) -> Bits:
@@ -93,7 +115,7 @@ def lookup(keys: np.ndarray, look: Bits, hashes: np.ndarray) -> tuple[np.ndarray
 def find(index: Prefixes, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences in a slice: text, window, first word and word after the last; and the first word of each text."""
     starts, ends, first = s.tokens(ALNUM_SEP)
-    words = s.hashes(starts, ends, lower=True)
+    words, data = s.hashes(starts, ends, lower=True), LOWER[s.data]
     out = []
     for k, (keys, begin, many, window, offset, look) in index.by.items():
         runs = whole_runs(first, k)
@@ -106,15 +128,20 @@ def find(index: Prefixes, s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         text = np.searchsorted(first, np.repeat(runs[at], many[key]), side="right") - 1
         fits = (pos >= first[text]) & (pos + index.size[w] <= first[text + 1])
         w, pos, text = w[fits], pos[fits], text[fits]
+        # Word for word: lengths, then bytes.
         size = index.size[w]
-        same = words[ranges(pos, size)] == index.words[ranges(index.first[w], size)]
-        wrong = np.bincount(np.repeat(np.arange(len(w)), size), weights=~same, minlength=len(w)) > 0 if len(w) else np.zeros(0, bool)
+        here, there, of = ranges(pos, size), ranges(index.first[w], size), np.repeat(np.arange(len(w)), size)
+        length = ends[here] - starts[here]
+        wrong = np.bincount(of[length != index.ends[there] - index.starts[there]], minlength=len(w)) > 0
+        check = ~wrong[of]
+        unlike = ~same_bytes(data, starts[here[check]], index.data, index.starts[there[check]], length[check])
+        wrong |= np.bincount(of[check][unlike], minlength=len(w)) > 0
         out.append((text[~wrong], w[~wrong], pos[~wrong], (pos + size)[~wrong]))
     text, w, a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
     return text, w, a, b, first
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5, block_bytes: int = 4 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shingle: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
     """The columns ``keep``, n_words, spans and items of each row.
 
     spans: first words and words after the last of the disjoint hit runs, in turn; items: the ids,
@@ -128,10 +155,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str], text_col:
     plain = docs.select(F.lit(0).cast("long"), F.col(text_col).cast("string"), *keep).toDF("id", "text", *names)
     state = plain.select("id", "text", *names, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for block in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else bench
+        part = bench.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block) if blocks > 1 else bench
         held = Windows([(r["id"], r["text"]) for r in part.collect()], window, shingle)
         state = _scan(state, _index(spark, plain, held))
-    return state.select(*names, "n_words", "spans", "items").toDF(*keep, "n_words", "spans", "items")
+    return state.select(*names, "n_words", "spans", "items").toDF(*keep, *apart(keep, "n_words", "spans", "items"))
 
 
 def _index(spark, docs: DataFrame, held: Windows):
@@ -152,8 +179,15 @@ def _index(spark, docs: DataFrame, held: Windows):
             at = np.flatnonzero(counts[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(signed(keys[at])), pa.array(counts[k][at])], ["k", "h", "n"])
 
-    found = docs.select("id", "text").mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).collect() if distinct else []
-    return spark.sparkContext.broadcast(Prefixes(held, {(r["k"], r["h"] & (2**64 - 1)): r["n"] for r in found}))
+    # Bounded by the block: a row for each of its shingles.
+    found = docs.select("id", "text").mapInArrow(count, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n")).toArrow() if distinct else None
+    shared.unpersist()
+    counts = {}
+    for k, keys in distinct.items():
+        counts[k] = (keys, np.zeros(len(keys), np.int64))
+        own = found.filter(pc.equal(found["k"], k))
+        counts[k][1][np.searchsorted(keys, own["h"].to_numpy().view(np.uint64))] = own["n"].to_numpy()
+    return spark.sparkContext.broadcast(Prefixes(held, counts))
 
 
 def _scan(state: DataFrame, shared) -> DataFrame:
@@ -186,7 +220,7 @@ def _scan(state: DataFrame, shared) -> DataFrame:
             flat = np.stack([begins - first[of], ends - first[of]], 1).reshape(-1)
             names = items.to_pylist()
             for t in np.unique(text).tolist():
-                names[t] = sorted(set(names[t]).union(*(index.items[k] for k in np.unique(w[text == t]).tolist())))
+                names[t] = sorted({*names[t], *index.items(w[text == t])})
             columns = [*batch.columns[:-3], pa.array(n, pa.int64()), lists(flat, 2 * np.bincount(of, minlength=len(s)), pa.int64()), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
