@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Between
 stages the rows are written as Parquet to the shared folder and read again.
+
+Defined results, in every stage: an empty table gives an empty result; columns besides those of documents are
+dropped, whatever their names; nulls in lang, source and n_chars are kept or filled as said below; very long
+texts are taken whole. Each stage says what becomes of null ids, null texts and repeated rows.
 """
 
 from __future__ import annotations
@@ -17,14 +21,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go; lang becomes the prediction."""
+    """Documents without a language (null or empty text, or no letter in it) go; lang becomes the prediction.
+
+    Rows are predicted each, repeated ones alike; rows with a null id are predicted but not learned from. If no row
+    has a lang to learn, all go.
+    """
     model = language.train(docs.where(~language.held_out()))
     found = language.predict(docs, model, ["doc_id", "text", "source", "n_chars"])
     return found.where(F.col("lang_pred") != language.UND).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of at least 40 characters that five or more documents hold stay in one of them only."""
+    """Lines of at least 40 characters that five or more documents hold stay only in that of the largest id.
+
+    No document goes, and n_chars becomes the new text's. Rows with a null id neither count nor lose lines; a null
+    text becomes the empty one; rows that repeat an id are one document: they count once and all keep its lines.
+    """
     kept = line_dedup.dedup_lines(docs, keep=["doc_id", "lang", "source"])
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
@@ -51,13 +63,21 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item, or the whole of a shorter one, go."""
+    """Documents that hold ten consecutive words of a benchmark item, or the whole of a shorter one, go.
+
+    Rows are judged each by their text, also those with a null id; null and empty texts hold nothing and stay, as
+    does everything if the benchmark is empty.
+    """
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
     return found.where(F.size("items") == 0).select(*COLUMNS)
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' piece ids under merge-dropout, as digests, and whether they decode to the text."""
+    """The documents' piece ids under merge-dropout, as digests, and whether they decode to the text.
+
+    A row for each row; a null text has no ids and decodes to the empty one; null ids count as one id, and equal
+    rows are encoded alike.
+    """
     return pieces.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=20)
 
 
@@ -69,7 +89,7 @@ STAGES = [
     ("pieces", piece_stage),
 ]
 
-#: Language models and piece segmentations have no SQL form; tests compare run() with a brute-force version.
+#: Language models and piece segmentations have no SQL form; a test compares run() with a brute-force version.
 ORACLE_SQL = None
 
 

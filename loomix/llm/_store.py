@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +15,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """The folder in spark.checkpoint.dir; only where that is unset and Spark is local, as in tests, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="loomix-"))
         found = _own[0]
@@ -108,5 +109,6 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
-def as_int64(values: np.ndarray) -> pa.Array:
-    return pa.array(values.astype(np.int64), pa.int64())
+def apart(keep: list[str], *names: str) -> list[str]:
+    """Names of result columns; one that a kept column has already gets kept_ before it."""
+    return [f"kept_{n}" if n in keep else n for n in names]

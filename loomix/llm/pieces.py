@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import apart
 from ._text import U64, Slice, mix, ranges, same_bytes, slices
 
 SPACE = 0x2581
@@ -381,17 +382,18 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
 
 def decode(df: DataFrame, model_path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
-    """The columns ``keep`` and the text that each row's ids stand for."""
-    rows = df.select(ids_col, *keep)
-    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep)
+    """The columns ``keep`` and the text that each row's ids stand for; named kept_text if a kept column is called text."""
+    names = [f"_{i}" for i in range(len(keep))]
+    rows = df.select(ids_col, *keep).toDF("ids", *names)
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = cached(model_path, 0.0, 0).model
         for batch in batches:
             texts = [model.decode(np.array(x, np.int64)).decode() if x else "" for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*names, "text"])
 
-    return rows.mapInArrow(run, f"{kinds}, text string")
+    return rows.mapInArrow(run, f"{kinds}, text string").toDF(*keep, *apart(keep, "text"))
 
 
 def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 0, variants: int | None = None) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import apart
 from ._text import U64, WHITE_SEP, mix, of_text, signed, slices, whole_runs, windows
 
 #: Words in a shingle that may be an anchor.
@@ -254,7 +255,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
     out = joined.mapInArrow(cut, f"{kinds}, text string, n_words long, n_removed long")
-    return out.toDF(*keep, f"kept_{text_col}" if text_col in keep else text_col, "n_words", "n_removed")
+    return out.toDF(*keep, *apart(keep, text_col, "n_words", "n_removed"))
 
 
 def oracle() -> str:
