@@ -27,9 +27,9 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,10 @@ from pyspark.sql import functions as F
 from ._store import components, save
 
 
+if TYPE_CHECKING:
+    import pandas as pd  # executors load it only where a step needs it
+
+
 def calibrate(threshold: float, projections: int, recall: float, chance: float = 0.9) -> tuple[float, int]:
     """The window's half-width, in which a pair at the threshold collides with the given chance, and the count to ask for."""
     from statistics import NormalDist
@@ -202,6 +206,8 @@ def _compare(pdf: pd.DataFrame, threshold: float, projections: int, seed: int, w
         rows["rep"] += rep[child].tolist()
         rows["links"] += [None] * len(child)
         rows["other"] += [int(rep[root(i)]) for i in child]
+    import pandas as pd
+
     return pd.DataFrame({k: pd.array(v, "Int64") for k, v in rows.items()})
 
 

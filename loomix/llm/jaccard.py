@@ -34,9 +34,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +44,13 @@ from pyspark.sql import functions as F
 from ._store import components, drop, save
 from ._text import U64, WHITE_SEP, Slice, lists, mix, sequence_hashes, signed, slices, windows
 
+if TYPE_CHECKING:
+    import pandas as pd  # executors load it only where a step needs it
+
 EXTEND = 16
 BLOCK = 512
 #: Prefix shingles that a task holds before it looks for those that its own documents share.
-HELD = 1_000_000
+HELD = 500_000
 ENTRY = ["kind", "k1", "k2"]
 #: Kinds of index entries besides size classes, which are those of combinations.
 SINGLE, TINY = -1, -2
@@ -421,6 +424,8 @@ def _compare(pdf: pd.DataFrame, limit: Threshold) -> pd.DataFrame:
             seen[new] = True
             stack += new.tolist()
             out += [(ids[j], ids[i]) for j in new.tolist()]
+    import pandas as pd
+
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 

@@ -29,16 +29,20 @@ are ignored. A row must be deleted with the text it was inserted with.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import apart, new_path, union
+from ..paths import new_path
+from ._store import apart, union
 from ._text import U64, WHITE_SEP, lines, mix, of_text, signed, slices
 
+if TYPE_CHECKING:
+    import pandas as pd  # executors load it only where a step needs it
+
 #: Postings for each shard, at most twice as many.
 PER_SHARD = 1 << 13
 #: Keys with more than one in so many of all postings are looked up before lines are dealt out.
@@ -156,6 +160,8 @@ def _rows(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def _shard(shard: int, filter_: CuckooFilter, rows: np.ndarray) -> pd.DataFrame:
+    import pandas as pd
+
     return pd.DataFrame({"shard": [shard], "filter": [filter_.table.tobytes()], "keys": [rows.tobytes()]})
 
 

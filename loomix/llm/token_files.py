@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..paths import new_path
 from . import _bpe
-from ._store import new_path
 from ._text import slices
 
 MAGIC = b"LMXTOK1\n"
