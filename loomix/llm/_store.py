@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..paths import new_path
 
+
 def save(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes the rows to the shared folder and reads them again: lineage ends, and any executor may be lost."""
     spark = df.sparkSession
