@@ -7,6 +7,7 @@ import builtins
 import hashlib
 import inspect
 import json
+import linecache
 import sys
 import textwrap
 import types
@@ -66,5 +67,43 @@ def _literal(value) -> bool:
 
 def key(fn, sig: Signature, spark_version: str) -> str:
     """Changes with anything that could change the function's results or its rewrite."""
-    parts = [canonical_source(fn), json.dumps(sig.params), sig.returns, spark_version, json.dumps(captures(fn))]
+    return key_of_source(canonical_source(fn), [list(p) for p in sig.params], sig.returns, spark_version, captures(fn))
+
+
+def fingerprint(fn, seen: frozenset = frozenset()) -> str:
+    """A digest of a function's source and of all it takes from outside, helpers of its own module included."""
+    names = inspect.getclosurevars(fn)
+    parts = [canonical_source(fn)]
+    for name, value in sorted({**names.globals, **names.nonlocals}.items()):
+        if isinstance(value, types.FunctionType) and value.__module__ == fn.__module__ and name not in seen:
+            parts.append(f"{name} {fingerprint(value, seen | {name, fn.__name__})}")
+        elif isinstance(value, types.ModuleType):
+            parts.append(f"{name} module {value.__name__}")
+        else:
+            parts.append(f"{name} {value!r}")
     return hashlib.sha256("\0".join(parts).encode()).hexdigest()
+
+
+def load(source: str, captured: dict):
+    """The function that a canonical source defines; captured: name -> literal's spelling or ``module ...``."""
+    space: dict = {"datetime": __import__("datetime").datetime}
+    for name, value in captured.items():
+        if value.startswith("module "):
+            module = value[7:]
+            if module.split(".")[0] not in sys.stdlib_module_names:
+                raise NotKeyable(f"{module} is a module outside the standard library")
+            __import__(module)
+            space[name] = sys.modules[module]
+        else:
+            space[name] = ast.literal_eval(value)
+    tree = ast.parse(source)
+    if len(tree.body) != 1 or not isinstance(tree.body[0], ast.FunctionDef):
+        raise NotKeyable("not a plain function")
+    code = compile(tree, f"<{tree.body[0].name}>", "exec")
+    linecache.cache[f"<{tree.body[0].name}>"] = (len(source), None, source.splitlines(True), f"<{tree.body[0].name}>")
+    exec(code, space)  # noqa: S102  the caller's own function
+    return space[tree.body[0].name]
+
+
+def key_of_source(source: str, params: list, returns: str, spark_version: str, captured: dict) -> str:
+    return hashlib.sha256("\0".join([source, json.dumps(params), returns, spark_version, json.dumps(captured)]).encode()).hexdigest()

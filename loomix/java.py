@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -14,7 +15,7 @@ from pyspark.sql import SparkSession
 
 _BOXED = {"bigint": "Long", "int": "Integer", "smallint": "Short", "tinyint": "Byte", "double": "Double", "float": "Float", "string": "String", "boolean": "Boolean", "binary": "byte[]", "timestamp": "java.sql.Timestamp"}
 #: What a generated class may not touch.
-FORBIDDEN = re.compile(r"\b(Runtime|ProcessBuilder|Thread|ClassLoader|System\s*\.\s*(exit|load|loadLibrary|setProperty|getenv)|java\s*\.\s*(io|nio|net|lang\s*\.\s*reflect)|sun\s*\.|jdk\s*\.|Unsafe|native|forName)\b")
+FORBIDDEN = re.compile(r"\b(Runtime|ProcessBuilder|Thread|ClassLoader|System\s*\.\s*(exit|load|loadLibrary|setProperty|getenv)|java\s*\.\s*(io|nio|net|lang\s*\.\s*reflect|util\s*\.\s*concurrent)|javax\s*\.|scala\s*\.\s*sys|sun\s*\.|jdk\s*\.|Unsafe|native|forName)\b")
 
 
 class Rejected(ValueError):
@@ -44,14 +45,23 @@ def wrap(body: str, params: list[tuple[str, str]], returns: str, members: str =
     return name, f"public class {name} {shape}"
 
 
+#: Jars that this process has compiled, by class and source.
+_jars: dict[tuple[str, str], str] = {}
+
+
+@functools.lru_cache
+def _folder() -> str:
+    """A folder of this process alone; the driver serves the jars in it to the executors."""
+    return tempfile.mkdtemp(prefix="loomix-java-")
+
+
 def compile_jar(spark: SparkSession, name: str, source: str) -> str:
     """Path of a jar with the compiled class."""
     if found := FORBIDDEN.search(_blanked(source)):
         raise Rejected(f"{found[0]} isn't allowed")
-    folder = os.path.join(tempfile.gettempdir(), f"loomix-java-{os.getuid()}")
-    jar = os.path.join(folder, f"{name}.jar")
-    if os.path.exists(jar):
-        return jar
+    if (name, source) in _jars and os.path.exists(_jars[name, source]):
+        return _jars[name, source]
+    jar = os.path.join(_folder(), f"{name}.jar")
     with tempfile.TemporaryDirectory() as work:
         path = os.path.join(work, f"{name}.java")
         with open(path, "w", encoding="utf-8") as f:
@@ -64,13 +74,13 @@ def compile_jar(spark: SparkSession, name: str, source: str) -> str:
         said = subprocess.run([compiler, "-encoding", "UTF-8", "-cp", f"{system.getProperty('java.class.path')}{os.pathsep}{jars}", "-d", work, "-nowarn", path], capture_output=True, text=True)
         if said.returncode:
             raise Rejected(said.stderr[:2000])
-        os.makedirs(folder, exist_ok=True)
-        draft = f"{jar}.{os.getpid()}"
+        draft = f"{jar}.draft"
         with zipfile.ZipFile(draft, "w") as z:
             for file in sorted(os.listdir(work)):
                 if file.endswith(".class"):
                     z.write(os.path.join(work, file), file)
         os.replace(draft, jar)
+    _jars[name, source] = jar
     return jar
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import corpus
+from ..functions.notes import LEADS, TREATMENTS
+from ..lowering import WHITE
 
 #: Key columns that go with the results of a table.
 KEYS = {
@@ -19,12 +22,13 @@ KEYS = {
 
 @dataclass(frozen=True)
 class Binding:
-    """A function applied to expressions over a table; oracle: the result in DuckDB SQL, if SQL has it."""
+    """A function applied to expressions over a table; oracle: the result in DuckDB SQL, if SQL has it; name: of the query."""
 
     function: str
     source: str
     args: str
     oracle: str | None
+    name: str = ""
 
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         native = corpus()[self.function]
@@ -60,6 +64,42 @@ _PREVIOUS = "orders lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_or
 _SPARK_LISTS = "prio, o_orderstatus, array('1-URGENT', '2-HIGH', NULL), array('O', 'F')"
 _IN_LISTS = "(prio IN ('1-URGENT', '2-HIGH'))", "(o_orderstatus IN ('O', 'F'))"
 _SPARK_SWAPPED = "o_orderstatus, prio, array('1-URGENT', '2-HIGH', NULL), array('O', 'F')"
+_EMPTIED = "orders CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS st"
+_MAILS = "documents regexp_extract(text, '[^ ]+@[^ ]+', 0) AS mail"
+#: Texts with a line put before them, of which the functions of notes take the first.
+_VERDICTS = "documents concat('1. **VERDICT: ', CASE n_chars % 3 WHEN 0 THEN 'viable' WHEN 1 THEN 'not viable' ELSE 'unclear' END, '**', chr(10), text) AS verdict"
+_CUSTOMER_DATA = """customer concat(c_name, ': SSN 123-45-', lpad(cast(c_custkey % 10000 AS varchar(9)), 4, '0'), ', mail user', c_custkey, '@example.com, call (555) 010-',
+  lpad(cast(c_custkey % 10000 AS varchar(9)), 4, '0'), ', DOB: 12/31/1980, member id AB123456, at 12 Main Street. {{FIRST_NAME 555-010-1234}} ', c_mktsegment) AS note"""
+
+
+def _in_re2(pattern: str) -> str:
+    """A pattern of notes for DuckDB's regular expressions."""
+    letter, white = r"[\p{L}\p{N}_]", "[ \t\n\r\v\f]"
+    return pattern.replace(r"\w", letter).replace(r"\d", r"\p{Nd}").replace(r"\s", white).replace("'", "''")
+
+
+def _treatment(text: str) -> str:
+    """The first hit of more than two characters; the ninth pattern, which names no treatment, ends the search."""
+    out = "'AB'"
+    for p in reversed(TREATMENTS):
+        names = re.findall(r"\((?!\?)|\(\?P<(\w+)>", p)
+        if "treatment" in names:
+            hit = f"regexp_extract({text}, '{_in_re2(p)}', {names.index('treatment') + 1}, 'i')"
+            out = f"CASE WHEN length({hit}) > 2 THEN {hit} ELSE {out} END"
+        else:
+            out = f"CASE WHEN regexp_matches({text}, '{_in_re2(p)}', 'i') THEN NULL ELSE {out} END"
+    return out
+
+
+def _normalized(text: str) -> str:
+    out = rf"regexp_replace(regexp_replace({text}, '\*\*(.*?)\*\*', '\1', 'g'), '<answer>(.*?)</answer>', '\1', 'g')"
+    for lead in LEADS:
+        out = f"regexp_replace({out}, '.*{_in_re2(lead)}', '', 'gi')"
+    return f"trim(replace(replace({out}, '**', ''), '---', ''), {_WHITE})"
+
+
+_WHITE = " || ".join(f"chr({ord(c)})" for c in WHITE)
+_SECOND = "split_part(split_part(marked, chr(10) || 'LEGAL:', 2), chr(10), 1)"
 _STRIPPED = "concat('  ', n_name, chr(9))"
 _MOD = "((l_partkey - 1000) % {m} + CASE WHEN (l_partkey - 1000) % {m} <> 0 AND ((l_partkey - 1000) < 0) <> ({m} < 0) THEN {m} ELSE 0 END)"
 
@@ -93,7 +133,7 @@ BINDINGS = [
     Binding("title_case", "part", "p_name", "array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"),
     Binding("clean_phone", "customer", "c_name", "regexp_replace(c_name, '[^0-9]', '', 'g')"),
     Binding("extract_domain", "pages", "url", "regexp_extract(url, '://([^/]+)', 1)"),
-    Binding("is_email", "documents split_part(text, ' ', 3) AS word", "word", "regexp_full_match(word, '[^@]+@[^@]+\\.[^@]+')"),
+    Binding("is_email", _MAILS, "mail", "regexp_full_match(mail, '[^@]+@[^@]+\\.[^@]+')"),
     Binding("count_vowels", "documents", "text", "CAST(length(text) - length(translate(text, 'aeiouAEIOU', '')) AS BIGINT)"),
     Binding("np_sqrt", "lineitem", "l_extendedprice", "sqrt(l_extendedprice)"),
     Binding("np_log", "customer", "c_acctbal", "CASE WHEN c_acctbal > 0 THEN ln(c_acctbal) WHEN c_acctbal = 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END"),
@@ -126,7 +166,7 @@ BINDINGS = [
     Binding("common_c2f", "events", "value", "value * 9.0::DOUBLE / 5.0::DOUBLE + 32.0::DOUBLE"),
     Binding("common_url_decode", "pages", "url", "replace(url, '%20', ' ')"),
     Binding("common_full_name", "part", "p_brand, p_type", "p_brand || ' ' || p_type"),
-    Binding("common_round2", "lineitem", "l_extendedprice", None),
+    Binding("common_round2", "lineitem", "l_quantity / 8", "(CAST(l_quantity AS BIGINT) * 125 // 10 + CASE WHEN CAST(l_quantity AS BIGINT) * 125 % 10 > 5 OR CAST(l_quantity AS BIGINT) * 125 % 10 = 5 AND CAST(l_quantity AS BIGINT) * 125 // 10 % 2 = 1 THEN 1 ELSE 0 END) / 100"),
     Binding("common_is_adult", "part", "cast(p_size AS bigint)", "p_size >= 18"),
     Binding("udfb_extractyear", _DATED, "day", "year(o_orderdate)"),
     Binding("udfb_extractmonth", _DATED, "day", "month(o_orderdate)"),
@@ -144,18 +184,38 @@ BINDINGS = [
     Binding("bool_str", "part", "p_size > 20", "CASE WHEN p_size > 20 THEN 'True' ELSE 'False' END"),
     Binding("safe_ten_div", "part", "cast(p_size AS bigint) - 10", "CASE WHEN p_size = 10 THEN -1 ELSE CAST(trunc(10.0::DOUBLE / (p_size - 10)) AS BIGINT) END"),
     Binding("floor_div", "lineitem", "l_partkey - 1000, 7L", "CAST(floor((l_partkey - 1000) / 7.0::DOUBLE) AS BIGINT)"),
-    Binding("fhi_verdict_has_legal_check", "documents", "concat('x\\n', CASE WHEN doc_id % 3 = 0 THEN 'LEGAL: ' ELSE 'LEGAL: UNCHECKED ' END, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END)", "doc_id % 3 = 0 AND doc_id % 2 = 1 OR doc_id % 3 <> 0 AND doc_id % 2 = 1"),
-    Binding("fhi_parse_verdict", "documents", "concat('1. **VERDICT: ', CASE doc_id % 3 WHEN 0 THEN 'viable' WHEN 1 THEN 'not viable' ELSE 'unclear' END, '**\\n', lang)", "CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END"),
-    Binding("fhi_clean_health_history", "documents", "concat('  ', CASE doc_id % 3 WHEN 0 THEN 'None.' WHEN 1 THEN 'unknown' ELSE lang END, '\\t')", "CASE WHEN doc_id % 3 = 2 THEN lang END"),
-    Binding("fhi_treatment_from_findings", "documents", "concat('The patient has requested coverage for ', lang, ' therapy.'), 'A', 'B'", "lang || ' therapy'"),
-    Binding("fhi_diagnosis_from_findings", "documents", "concat('Was admitted to the hospital for ', lang, ' fever. Then left.'), 'A', 'B'", "lang || ' fever'"),
-    Binding("fhi_normalize_entity_text", "documents", "concat('**The diagnosis is ', lang, ' fever** ---')", "lang || ' fever'"),
+    Binding("fhi_verdict_has_legal_check", "documents replace(text, chr(10), concat(chr(10), 'LEGAL:')) AS marked", "marked", f"contains(text, chr(10)) AND trim({_SECOND}, {_WHITE}) NOT IN ('', 'UNCHECKED')"),
+    Binding("fhi_parse_verdict", _VERDICTS, "verdict", "CASE n_chars % 3 WHEN 0 THEN true WHEN 1 THEN false END"),
+    Binding("fhi_clean_health_history", "documents", "text", f"CASE WHEN trim(text, {_WHITE}) <> '' AND NOT regexp_full_match(upper(trim(text, {_WHITE})), '\\.*(NONE|UNKNOWN)\\.*') THEN trim(text, {_WHITE}) END"),
+    Binding("fhi_treatment_from_findings", "documents concat('The patient has requested coverage for ', text) AS findings", "findings, 'A', 'B'", _treatment("findings")),
+    Binding("fhi_diagnosis_from_findings", "documents concat('Was admitted to the hospital for ', text) AS findings", "findings, 'A', 'B'", "CASE WHEN length(split_part(text, '.', 1)) > 2 THEN split_part(text, '.', 1) ELSE 'AB' END"),
+    Binding("fhi_normalize_entity_text", "documents concat('**The diagnosis is ', replace(text, chr(10), concat('**', chr(10), 'Procedure: ')), ' ---') AS entity", "entity", _normalized("entity")),
     Binding("fhi_deidentify_text", "documents", "text", None),
+    Binding("fhi_deidentify_text", _CUSTOMER_DATA, "note", "concat(c_name, ': SSN {{SSN}}, mail {{Your Email Address}}, call {{Your Phone Number}}, {{DOB}}, {{MEMBER_ID}}, at {{ADDRESS}} {{FIRST_NAME 555-010-1234}} ', c_mktsegment)", "fhi_deidentify_planted"),
+    Binding("add_mul", "lineitem", "l_partkey, cast(l_linenumber AS bigint)", "CAST(l_partkey * l_linenumber + 1 AS BIGINT)"),
+    Binding("sub_neg", "orders", "o_orderkey", "1 + o_orderkey"),
+    Binding("truediv", "lineitem", "cast(l_partkey AS int), cast(l_suppkey AS int)", "l_partkey / l_suppkey"),
+    Binding("eq_zero", _NULLED, "maybe % 7", "coalesce(maybe % 7 = 0, false)"),
+    Binding("ne_zero", _NULLED, "maybe % 7", "coalesce(maybe % 7 <> 0, true)"),
+    Binding("less_five", "orders", "o_orderkey % 10", "o_orderkey % 10 < 5"),
+    Binding("py_and", "part", "p_size > 20, p_partkey % 2 = 0", "p_size > 20 AND p_partkey % 2 = 0"),
+    Binding("py_or", "part", "p_size > 20, p_partkey % 2 = 0", "p_size > 20 OR p_partkey % 2 = 0"),
+    Binding("not_x", _NULLED, "maybe % 2 = 0", "coalesce(NOT (maybe % 2 = 0), true)"),
+    Binding("ternary", _NULLED, "maybe % 3", "CAST(CASE WHEN maybe % 3 <> 0 THEN 1 ELSE 2 END AS BIGINT)"),
+    Binding("nested_if", "lineitem", "l_partkey - 1000, l_suppkey - 50", "CAST(CASE WHEN l_partkey <= 1000 THEN 3 WHEN l_suppkey > 50 THEN 1 ELSE 2 END AS BIGINT)"),
+    Binding("chained", "orders", "o_orderkey % 20", "o_orderkey % 20 BETWEEN 1 AND 9"),
+    Binding("str_lt", "part", "p_brand, p_type", "p_brand < p_type"),
+    Binding("str_eq", "nation", "n_name, concat('NATION_', n_regionkey)", "n_name = concat('NATION_', n_regionkey)"),
+    Binding("str_or", _EMPTIED, "st, o_orderpriority", "CASE WHEN st <> '' THEN st ELSE o_orderpriority END"),
+    Binding("square", "orders", "o_custkey", "o_custkey * o_custkey"),
+    Binding("shifted", "orders", "o_orderkey", "CAST(o_orderkey * 8 + o_orderkey // 4 AS BIGINT)"),
+    Binding("ratio_or_zero", "part", "cast(p_partkey AS int), cast(p_size AS int) - 10", "CASE WHEN p_size = 10 THEN 0 ELSE p_partkey / (p_size - 10) END"),
+    Binding("circle", "part", "cast(p_size AS double)", "3.141592653589793::DOUBLE * p_size * p_size"),
 ]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f"udf_{b.function}": b.query for b in BINDINGS}
+    return {f"udf_{b.name or b.function}": b.query for b in BINDINGS}
 
 
 #: Steps of every part key, all walked at once.
@@ -167,4 +227,4 @@ UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey < 1"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"udf_{b.function}": sql for b in BINDINGS if (sql := b.sql())} | {"udf_collatz_steps": _COLLATZ}
+    return {f"udf_{b.name or b.function}": sql for b in BINDINGS if (sql := b.sql())} | {"udf_collatz_steps": _COLLATZ}

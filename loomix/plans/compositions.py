@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import advise, catalog
 from ..functions import scalars
 
 
@@ -24,18 +25,18 @@ def adult_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucket_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Join keys computed on both sides."""
+    """Join keys computed on both sides, which are counted first: a key has one row on either side, not all pairs."""
     key = lambda c: scalars.mod_bucket(F.col(c), F.lit(5).cast("long"))
-    left = _table(spark, sf_dir, "supplier").select("s_suppkey", key("s_suppkey").alias("k"))
-    right = _table(spark, sf_dir, "nation").select("n_name", key("n_nationkey").alias("k"))
-    return left.join(right, "k").groupBy("k").agg(F.count("*").alias("pairs"), F.max("n_name").alias("last_name"))
+    left = _table(spark, sf_dir, "supplier").groupBy(key("s_suppkey").alias("k")).agg(F.count("*").alias("suppliers"))
+    right = _table(spark, sf_dir, "nation").groupBy(key("n_nationkey").alias("k")).agg(F.count("*").alias("nations"), F.max("n_name").alias("last_name"))
+    return left.join(right, "k").select("k", (F.col("suppliers") * F.col("nations")).alias("pairs"), "last_name")
 
 
 def deviation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function over a window aggregate, then a rank."""
+    """A function over a group's mean, then a rank; Spark limits each group's rows before the shuffle."""
     rows = _table(spark, sf_dir, "orders")
-    mean = F.round(F.avg("o_totalprice").over(Window.partitionBy("o_orderpriority")), 2)
-    scored = rows.select("o_orderkey", "o_orderpriority", F.round(scalars.tpcds_sales_deviation(F.col("o_totalprice"), mean), 6).alias("deviation"))
+    mean = rows.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 2).alias("mean"))
+    scored = rows.join(mean, "o_orderpriority").select("o_orderkey", "o_orderpriority", F.round(scalars.tpcds_sales_deviation(F.col("o_totalprice"), F.col("mean")), 6).alias("deviation"))
     rank = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("deviation"), "o_orderkey"))
     return scored.withColumn("rank", rank).where("rank <= 10")
 
@@ -48,13 +49,58 @@ def conditional_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest row of each key, as the catalog reads its table."""
-    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return _table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(newest)).where("r = 1").select("o_custkey", "o_orderkey")
+    return catalog.latest(_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey")
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Success counts by group, as the catalog's statistics."""
-    return _table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count("*").alias("n"))
+    return catalog.success_rates(_table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus", "F").withColumnsRenamed({"succeeded": "finished", "tried": "n"})
+
+
+def catalog_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user."""
+    events = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return catalog.latest(events, ["user_id"], ["at", "event_id"])
+
+
+def catalog_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 64 events of each type, as samples are kept."""
+    return catalog.newest(_table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], 64)
+
+
+def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Success by two groups."""
+    return catalog.success_rates(_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_shipmode"], "l_linestatus", "F")
+
+
+def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances below zero replaced by zero, and a customer added for each nation."""
+    table = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    new = _table(spark, sf_dir, "nation").select((-F.col("n_nationkey") - 1).cast("long").alias("c_custkey"), F.col("n_nationkey").alias("c_nationkey"), F.lit(1.0).alias("c_acctbal"))
+    return catalog.merged(table, table.where("c_acctbal < 0").withColumn("c_acctbal", F.lit(0.0)).unionByName(new), ["c_custkey"])
+
+
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders, and those without, by intersection and difference."""
+    customers = _table(spark, sf_dir, "customer").select("c_custkey")
+    buyers = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return customers.intersect(buyers).withColumn("orders", F.lit(True)).unionByName(customers.subtract(buyers).withColumn("orders", F.lit(False)))
+
+
+def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the hundred largest orders."""
+    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+
+
+def oldest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row by date and key, as the oldest pending rewrite is found."""
+    return _table(spark, sf_dir, "orders").orderBy("o_orderdate", "o_orderkey").limit(1).select("o_orderkey")
+
+
+def generated_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made for timing, with nulls and moduli, and a function over it."""
+    rows = advise.frame(spark, 100_000, **advise.FRAMES["nulls"])
+    return rows.select("x", "maybe", scalars.mod_bucket(F.col("value"), F.col("modulus")).alias("bucket"))
 
 
 QUERIES = {
@@ -69,5 +115,13 @@ QUERIES = {
     ),
     "plan_conditional_sum": (conditional_sum, "SELECT o_orderstatus, round(sum(CASE WHEN dayname(o_orderdate) = 'Sunday' THEN o_totalprice END), 2) AS sunday_sales, count(*) AS n FROM orders GROUP BY 1"),
     "plan_latest_orders": (latest_orders, "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"),
+    "catalog_latest": (catalog_latest, "SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S') DESC, event_id DESC) = 1"),
+    "catalog_newest_samples": (catalog_newest, "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 64"),
+    "catalog_stats": (catalog_stats, "SELECT l_returnflag, l_shipmode, count(*) FILTER (WHERE l_linestatus = 'F') AS succeeded, count(*) AS tried FROM lineitem GROUP BY 1, 2"),
+    "catalog_merge": (catalog_merge, "SELECT c_custkey, c_nationkey, greatest(c_acctbal, 0) AS c_acctbal FROM customer UNION ALL SELECT CAST(-n_nationkey - 1 AS BIGINT), n_nationkey, 1.0::DOUBLE FROM nation"),
+    "plan_set_operations": (set_operations, "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS orders FROM customer"),
+    "plan_top_orders": (top_orders, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100"),
+    "plan_oldest_order": (oldest_order, "SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1"),
+    "scan_generated_frame": (generated_frame, "SELECT x, CASE WHEN x % 100 <> 0 THEN x END AS maybe, ((x - 1000) % (x % 99 + 1) + (x % 99 + 1)) % (x % 99 + 1) AS bucket FROM (SELECT range AS x FROM range(100000))"),
     "plan_status_counts": (status_counts, "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(*) AS n FROM orders GROUP BY 1"),
 }

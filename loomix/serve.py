@@ -1,21 +1,28 @@
 """Serving: Python functions as SQL-defined functions that the analyzer inlines.
 
 A rewrite is registered as ``CREATE OR REPLACE TEMPORARY FUNCTION f(x BIGINT) RETURNS BIGINT RETURN ...``;
-the plan holds ordinary expressions, so filters reach the scan and code generation applies. A function
-that has no rewrite keeps running as a Python UDF.
+the plan holds ordinary expressions, so filters reach the scan and code generation applies. Only a rewrite
+that was verified against its Python function is served: at its first use, or before, with the verdict kept
+in ``verified.json`` under a digest of function, rewrite and versions. A function without one, or whose rewrite
+fails, keeps running as a Python UDF.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import json
+import os
 import re
 from dataclasses import dataclass
 
+import pyspark
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from . import java
+from . import conf, java
+from .canonical import NotKeyable, fingerprint
 from .lowering import Decline, lower
 from .types import Signature, UnknownType, signature
 
@@ -58,6 +65,17 @@ def define(spark: SparkSession, name: str, sig: Signature, found: Rewrite) -> No
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION `{name}`({params}) RETURNS {sig.returns} RETURN {found.payload}")
 
 
+#: Verdicts of this process, by digest.
+_verified: dict[str, bool] = {}
+
+
+@functools.lru_cache
+def verdicts() -> frozenset[str]:
+    """Digests of the corpus functions whose rewrites were verified when the file was written."""
+    with open(os.path.join(os.path.dirname(__file__), "functions", "verified.json"), encoding="utf-8") as f:
+        return frozenset(json.load(f).values())
+
+
 class NativeFunction:
     """Callable on columns; runs natively where there is a rewrite."""
 
@@ -66,21 +84,48 @@ class NativeFunction:
         self.fn, self.sig, self.rewrite = fn, sig, found
         digest = hashlib.sha256(f"{found.kind}\0{found.payload}\0{sig}".encode()).hexdigest()[:12]
         self.name = f"loomix_{fn.__name__}_{digest}".lower()
-        self._sessions: set[int] = set()
+        self._sessions: dict[int, str] = {}
 
     @property
     def native(self) -> bool:
         return self.rewrite.kind != "python"
 
+    def digest(self) -> str:
+        """Changes with anything that the verdict on the rewrite may depend on."""
+        parts = [fingerprint(self.fn), str(self.sig), self.rewrite.kind, self.rewrite.payload, pyspark.__version__]
+        return hashlib.sha256("\0".join(parts).encode()).hexdigest()
+
+    def register(self, spark: SparkSession) -> str:
+        """Registers the rewrite, verified or not, and returns its name."""
+        define(spark, self.name, self.sig, self.rewrite)
+        return self.name
+
+    def trusted(self, spark: SparkSession) -> bool:
+        """Whether the rewrite was verified; if that isn't known, and may be done here, it is done now."""
+        try:
+            digest = self.digest()
+        except NotKeyable:
+            digest = f"{id(self)}"
+        if digest in verdicts() or digest in _verified:
+            return digest in verdicts() or _verified[digest]
+        if not conf.flag(spark, "inlineWorker"):
+            return False
+        from .verify import verify
+
+        _verified[digest] = verify(spark, self, draws=int(conf.number(spark, "maxExamples")), timeout=conf.number(spark, "verifyTimeoutSeconds"), tolerance=conf.number(spark, "tolerance")).ok
+        return _verified[digest]
+
     def define(self, spark: SparkSession) -> str:
-        """Registers the function with the session once; returns its name there."""
-        if id(spark) not in self._sessions or not spark.catalog.functionExists(self.name):
-            if self.native:
-                define(spark, self.name, self.sig, self.rewrite)
+        """Registers what may be served with the session once; returns its name there."""
+        name = self._sessions.get(id(spark))
+        if name is None or not spark.catalog.functionExists(name):
+            if self.native and self.trusted(spark):
+                name = self.register(spark)
             else:
-                spark.udf.register(self.name, self.fn, self.sig.returns)
-            self._sessions.add(id(spark))
-        return self.name
+                name = f"{self.name}_python"
+                spark.udf.register(name, self.fn, self.sig.returns)
+            self._sessions[id(spark)] = name
+        return name
 
     def __call__(self, *columns) -> Column:
         spark = SparkSession.getActiveSession()
