@@ -191,10 +191,10 @@ BINDINGS = [
     Binding("fhi_diagnosis_from_findings", "documents concat('Was admitted to the hospital for ', text) AS findings", "findings, 'A', 'B'", "CASE WHEN length(split_part(text, '.', 1)) > 2 THEN split_part(text, '.', 1) ELSE 'AB' END"),
     Binding("fhi_normalize_entity_text", "documents concat('**The diagnosis is ', replace(text, chr(10), concat('**', chr(10), 'Procedure: ')), ' ---') AS entity", "entity", _normalized("entity")),
     Binding("fhi_deidentify_text", "documents", "text", None),
-    Binding("fhi_deidentify_text", _CUSTOMER_DATA, "note", "concat(c_name, ': SSN {{SSN}}, mail {{Your Email Address}}, call {{Your Phone Number}}, {{DOB}}, {{MEMBER_ID}}, at {{ADDRESS}} {{FIRST_NAME 555-010-1234}} ', c_mktsegment)", "fhi_deidentify_planted"),
+    Binding("fhi_deidentify_text", _CUSTOMER_DATA, "note", "concat(c_name, ': SSN {{SSN}}, mail {{Your Email Address}}, call {{Your Phone Number}}, {{DOB}}, {{MEMBER_ID}}, at {{ADDRESS}}. {{FIRST_NAME 555-010-1234}} ', c_mktsegment)", "fhi_deidentify_planted"),
     Binding("add_mul", "lineitem", "l_partkey, cast(l_linenumber AS bigint)", "CAST(l_partkey * l_linenumber + 1 AS BIGINT)"),
     Binding("sub_neg", "orders", "o_orderkey", "1 + o_orderkey"),
-    Binding("truediv", "lineitem", "cast(l_partkey AS int), cast(l_suppkey AS int)", "l_partkey / l_suppkey"),
+    Binding("truediv", "lineitem", "cast(l_partkey AS int), cast(l_suppkey + 1 AS int)", "l_partkey / (l_suppkey + 1)"),
     Binding("eq_zero", _NULLED, "maybe % 7", "coalesce(maybe % 7 = 0, false)"),
     Binding("ne_zero", _NULLED, "maybe % 7", "coalesce(maybe % 7 <> 0, true)"),
     Binding("less_five", "orders", "o_orderkey % 10", "o_orderkey % 10 < 5"),

@@ -70,7 +70,7 @@ def catalog_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Success by two groups."""
-    return catalog.success_rates(_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_shipmode"], "l_linestatus", "F")
+    return catalog.success_rates(_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_linestatus", "F")
 
 
 def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ QUERIES = {
     "plan_latest_orders": (latest_orders, "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"),
     "catalog_latest": (catalog_latest, "SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S') DESC, event_id DESC) = 1"),
     "catalog_newest_samples": (catalog_newest, "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 64"),
-    "catalog_stats": (catalog_stats, "SELECT l_returnflag, l_shipmode, count(*) FILTER (WHERE l_linestatus = 'F') AS succeeded, count(*) AS tried FROM lineitem GROUP BY 1, 2"),
+    "catalog_stats": (catalog_stats, "SELECT l_returnflag, l_linenumber, count(*) FILTER (WHERE l_linestatus = 'F') AS succeeded, count(*) AS tried FROM lineitem GROUP BY 1, 2"),
     "catalog_merge": (catalog_merge, "SELECT c_custkey, c_nationkey, greatest(c_acctbal, 0) AS c_acctbal FROM customer UNION ALL SELECT CAST(-n_nationkey - 1 AS BIGINT), n_nationkey, 1.0::DOUBLE FROM nation"),
     "plan_set_operations": (set_operations, "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS orders FROM customer"),
     "plan_top_orders": (top_orders, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100"),
