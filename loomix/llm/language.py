@@ -90,14 +90,14 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, steps: int = 120) -> np.n
 
     Returns the weights with the intercept last.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = v = np.zeros(x.shape[1], np.float32)
+    w = v = np.zeros(x.shape[1] + 1, np.float32)
     reg = np.float32(1e-4 / c)
     rate = np.float32(1 / (4 + reg))  # rows have length sqrt(2) at most, weights sum to one
     for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - rate * (reg * v - 2 * x.T @ (weight * y * slack))
+        slack = np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        pull = 2 * weight * y * slack
+        new = v - rate * (reg * v - np.append(pull @ x, pull.sum()))
         v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
@@ -178,8 +178,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     found = sorted(chosen.mapInArrow(vectors, "lang string, x binary").collect(), key=lambda r: (r["lang"], bytes(r["x"])))
     if not found:
         return Model({}, np.zeros((0, dimensions + 1), np.float32), {})
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in found]).astype(np.float32)
-    return Model.fit(x, np.array([r["lang"] for r in found], object))
+    lang, x = np.array([r["lang"] for r in found], object), np.empty((len(found), dimensions), np.float32)
+    for i in reversed(range(len(found))):
+        x[i] = np.frombuffer(found.pop()["x"], np.float16)  # the driver holds the features once
+    return Model.fit(x, lang)
 
 
 def predict(df: DataFrame, model: Model, keep: list[str], text_col: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
