@@ -85,19 +85,22 @@ def has_letter(s) -> np.ndarray:
     return found
 
 
-def _svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, steps: int = 120) -> np.ndarray:
-    """A linear SVM with squared hinge loss and balanced classes, by accelerated gradient descent; y is +1 or -1.
+def _svm(parts: list[tuple[np.ndarray, np.ndarray]], c: float = 4.0, steps: int = 120) -> np.ndarray:
+    """A linear SVM with squared hinge loss and balanced classes, by accelerated gradient descent.
 
-    Returns the weights with the intercept last.
+    Each part is some rows of features, not copied, with their y of +1 or -1. Returns the weights with the intercept last.
     """
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = v = np.zeros(x.shape[1] + 1, np.float32)
+    width = parts[0][0].shape[1]
+    for_a, for_b = (0.5 / max(1, sum(int((y * sign > 0).sum()) for _, y in parts)) for sign in (1, -1))
+    weights = [np.where(y > 0, for_a, for_b).astype(np.float32) for _, y in parts]
+    w = v = np.zeros(width + 1, np.float32)
     reg = np.float32(1e-4 / c)
     rate = np.float32(1 / (4 + reg))  # rows have length sqrt(2) at most, weights sum to one
     for k in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
-        pull = 2 * weight * y * slack
-        new = v - rate * (reg * v - np.append(pull @ x, pull.sum()))
+        new = v - rate * reg * v
+        for (x, y), weight in zip(parts, weights, strict=True):
+            pull = 2 * weight * y * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+            new += rate * np.append(pull @ x, pull.sum())
         v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
@@ -111,16 +114,18 @@ class Model:
 
     @classmethod
     def fit(cls, x: np.ndarray, lang: np.ndarray) -> Model:
+        """Learns from rows sorted by language; those of a language are read in place."""
+        codes, first = np.unique(lang, return_index=True)
+        of = {code: x[i:j] for code, i, j in zip(codes, first, [*first[1:], len(lang)], strict=True)}
         families: dict[str, list[str]] = {}
-        for code in sorted(set(lang)):
+        for code in codes:
             families.setdefault(_FAMILY.get(code, f"only {code}"), []).append(code)
         own = np.array([_FAMILY.get(code, f"only {code}") for code in lang])
-        family_w = np.stack([_svm(x, np.where(own == f, 1, -1).astype(np.float32)) for f in families]) if len(families) > 1 else np.zeros((len(families), x.shape[1] + 1), np.float32)
+        family_w = np.stack([_svm([(x, np.where(own == f, 1, -1).astype(np.float32))]) for f in families]) if len(families) > 1 else np.zeros((len(families), x.shape[1] + 1), np.float32)
         pair_w = {}
         for f, codes in families.items():
             for a, b in combinations(codes, 2):
-                use = (lang == a) | (lang == b)
-                pair_w[f, a, b] = _svm(x[use], np.where(lang[use] == a, 1, -1).astype(np.float32))
+                pair_w[f, a, b] = _svm([(of[a], np.ones(len(of[a]), np.float32)), (of[b], -np.ones(len(of[b]), np.float32))])
         return cls(families, family_w, pair_w)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
